@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import cutoff, lookalikes, tokens
+from ledgerloom.llm import cutoff, leakage, lookalikes, tokens
 from ledgerloom.operators import nested
 from ledgerloom.runtime import table
 
@@ -25,6 +25,10 @@ def p7_ids(spark, root):
     return tokens.encode(table(spark, root, "documents"))
 
 
+def p8_found(spark, root):
+    return leakage.leaks(table(spark, root, "documents"), table(spark, root, "eval_items"))
+
+
 def p9_found(spark, root):
     return cutoff.truncated(table(spark, root, "documents"))
 
@@ -33,5 +37,5 @@ def p9_sources(spark, root):
     return cutoff.by_source(table(spark, root, "documents"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_plain": p5_plain, "p7_ids": p7_ids, "p9_found": p9_found, "p9_sources": p9_sources}
+QUERIES = {"p5_found": p5_found, "p5_plain": p5_plain, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_sources": p9_sources}
 ORACLE: dict[str, str] = {}
