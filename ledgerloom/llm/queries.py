@@ -4,11 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import cutoff, leakage, lookalikes, tokens
+from ledgerloom.llm import canon_list, cutoff, leakage, lookalikes, tokens
 from ledgerloom.operators import nested
 from ledgerloom.runtime import table
 
 
+def _lists(spark, root):
+    return [table(spark, root, t) for t in ("cells", "grid_columns", "entities", "aliases")]
+
+
+def p2_found(spark, root):
+    return canon_list.resolve(*_lists(spark, root))
+
+
+def p2_unmatched(spark, root):
+    return canon_list.unmatched(*_lists(spark, root))
+
+
 def _values(spark, root):
     return lookalikes.values_of(table(spark, root, "identities"), nested.shred(table(spark, root, "page_docs")))
 
@@ -37,5 +49,5 @@ def p9_sources(spark, root):
     return cutoff.by_source(table(spark, root, "documents"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_plain": p5_plain, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_sources": p9_sources}
+QUERIES = {"p2_found": p2_found, "p2_unmatched": p2_unmatched, "p5_found": p5_found, "p5_plain": p5_plain, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_sources": p9_sources}
 ORACLE: dict[str, str] = {}
