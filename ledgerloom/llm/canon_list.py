@@ -88,8 +88,11 @@ def _segments(refs: DataFrame) -> DataFrame:
 
 def _substrings(keys: DataFrame, sizes: list[int]) -> DataFrame:
     """(type, word, part, at): the substrings of every key in the sizes that segments have."""
-    of_size = [F.transform(F.sequence(F.lit(0), F.length("word") - F.lit(s)), lambda p, s=s: F.struct(F.substring(F.col("word"), p + 1, F.lit(s)).alias("part"), p.alias("at"))) for s in sizes]
-    guarded = [F.when(F.length("word") >= s, x).otherwise(F.array().cast("array<struct<part:string,at:int>>")) for s, x in zip(sizes, of_size)]
+    def of(size: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.length("word") - F.lit(size)), lambda p: F.struct(F.substring(F.col("word"), p + 1, F.lit(size)).alias("part"), p.alias("at")))
+
+    none = F.array().cast("array<struct<part:string,at:int>>")
+    guarded = [F.when(F.length("word") >= size, of(size)).otherwise(none) for size in sizes]
     return keys.select("type", "word", F.explode(F.concat(*guarded)).alias("s")).select("type", "word", "s.part", "s.at")
 
 
