@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from ledgerloom.runtime import cut
+
 # Accented letters and what they fold to.
 ACCENTED = "áàâäãåāéèêëēíìîïīóòôöőõōúùûüűūýÿçčćñńšśșşžźżțţłđ"
 FOLDED = "aaaaaaaeeeeeiiiiiooooooouuuuuuyyccčnnssssžžžttld".replace("č", "c").replace("ž", "z")
@@ -124,8 +126,9 @@ def resolve(cells: DataFrame, columns: DataFrame, entities: DataFrame, aliases:
     """(cell_id, entity_id) of every cell of an entity column; 'none' where the list has no such entry."""
     cols = columns.where("dtype = 'entity'").select("project", "col_id", F.col("variable").alias("type")).distinct()
     wanted = cells.where(F.col("value").isNotNull() & ~F.col("value").rlike(DASHES)).select("project", "col_id", "row_id", "cell_id", "value").join(cols, ["project", "col_id"])
-    refs = references(entities, aliases)
-    words = keyed(wanted.select("type", "value").distinct())
+    # Distinct values and references are far smaller than the cells. Written once, they keep every later plan short.
+    refs = cut(references(entities, aliases))
+    words = cut(keyed(wanted.select("type", "value").distinct()))
     short = words.where("is_short").select("type", F.col("key").alias("word")).distinct()
     exact = refs.select("type", F.col("key").alias("word")).distinct()
     begun = _beginnings(short.join(exact, ["type", "word"], "left_anti"), refs)
@@ -133,6 +136,7 @@ def resolve(cells: DataFrame, columns: DataFrame, entities: DataFrame, aliases:
     met = match_keys(left, refs).unionByName(begun)
     ids = met.join(refs, ["type", "key"]).groupBy("type", "word").agg(F.array_sort(F.collect_set(F.struct("entity_id", "county"))).alias("entries"))
     by_value = words.join(ids.withColumnRenamed("word", "key"), ["type", "key"], "left").select("type", "value", "county_note", "entries")
+    by_value = cut(by_value)
     found = wanted.join(by_value, ["type", "value"], "left")
     sure = found.where("entries is null or size(entries) = 1").select("cell_id", F.coalesce(F.expr("entries[0].entity_id"), F.lit("none")).alias("entity_id"))
     unsure = found.where("size(entries) > 1")
