@@ -43,7 +43,7 @@ COMMON = (
 # Given names as Hungarian, German and familiar forms of one name.
 GIVEN = (
     "lajos ludwig lajcsi lali", "odon edmund odi", "janos johann jancsi jani", "henrik heinrich heni", "karoly karl karcsi", "david davidka dodi", "istvan stefan pista", "jozsef josef joska", "gyorgy georg gyuri",
-    "vilmos wilhelm vili", "terez therese trezsi", "erzsebet elisabeth erzsi", "mihaly michael misi", "antal anton toni", "peter peti", "zsigmond sigmund zsiga", "ferencz ferenc franz feri", "benedek benedikt bene",
+    "vilmos wilhelm vili", "terez therese trezsi", "erzsebet elisabeth erzsi", "mihaly michael misi miska", "antal anton toni", "peter peti", "zsigmond sigmund zsiga", "ferencz ferenc franz feri", "benedek benedikt bene",
 )
 SIZES = "also felso kis nagy uj szent o unter ober klein gross neu sankt alt".split()
 SERBIAN = {"а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "ђ": "gy", "е": "e", "ж": "zs", "з": "z", "и": "i", "ј": "j", "к": "k", "л": "l", "љ": "ly", "м": "m", "н": "n", "њ": "ny", "о": "o", "п": "p", "р": "r", "с": "sz", "т": "t", "ћ": "ty", "у": "u", "ф": "f", "х": "h", "ц": "c", "ч": "cs", "џ": "dzs", "ш": "s"}
