@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import canon_list, cutoff, firms, leakage, lookalikes, tokens
+from ledgerloom.llm import canon_list, cutoff, firms, leakage, linkage, lookalikes, tokens
 from ledgerloom.operators import nested
 from ledgerloom.runtime import table
 
@@ -33,6 +33,14 @@ def p5_plain(spark, root):
     return lookalikes.normalized(_values(spark, root))
 
 
+def p4_found(spark, root):
+    return p4_confidence(spark, root).select("record_id", "entry_id")
+
+
+def p4_confidence(spark, root):
+    return linkage.link(*[table(spark, root, t) for t in ("identities", "court_entries", "entities", "aliases")])
+
+
 def p6_found(spark, root):
     return firms.variants(*[table(spark, root, t) for t in ("identities", "entities", "aliases")])
 
@@ -53,5 +61,5 @@ def p9_sources(spark, root):
     return cutoff.by_source(table(spark, root, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_unmatched": p2_unmatched, "p5_found": p5_found, "p5_plain": p5_plain, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_sources": p9_sources}
+QUERIES = {"p2_found": p2_found, "p2_unmatched": p2_unmatched, "p5_found": p5_found, "p5_plain": p5_plain, "p4_found": p4_found, "p4_confidence": p4_confidence, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_sources": p9_sources}
 ORACLE: dict[str, str] = {}
