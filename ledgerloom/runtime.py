@@ -24,3 +24,17 @@ def cut(df: DataFrame) -> DataFrame:
         shared = sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "ledgerloom-checkpoints")
         sc.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
+
+
+def ranked(df: DataFrame, order: list, name: str) -> DataFrame:
+    """`df` with the row number over the whole order, without gathering it in one partition.
+
+    Rows are range-partitioned and numbered within their partition; what a partition begins with is the sum of the
+    counts before it, of which there is one per partition. Order columns must tell all rows apart.
+    """
+    from pyspark.sql import Window as W
+    from pyspark.sql import functions as F
+
+    d = cut(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
+    counts = d.groupBy("__p").agg(F.count("*").alias("__c")).withColumn("__o", F.coalesce(F.sum("__c").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("__p", "__o")
+    return d.withColumn(name, F.row_number().over(W.partitionBy("__p").orderBy(*order))).join(F.broadcast(counts), "__p").withColumn(name, F.col(name) + F.col("__o")).drop("__p", "__o")
