@@ -178,13 +178,16 @@ def table_regions(cells: DataFrame, page: list[str], table: str, margin: float,
 
 
 def snapped(cells: DataFrame, page: list[str], table: str = "table", row: str = "super_row", column: str = "super_column") -> DataFrame:
-    """Cells of a lattice on the medians of their rows and columns; the right edge of a column is the left edge of the next."""
-    med = lambda c, k: F.median(c).over(W.partitionBy(*page, table, k))
-    c = cells.withColumns({"__l": med("x1", column), "__r": med("x2", column), "__t": med("y1", row), "__b": med("y2", row)})
-    lefts = c.groupBy(*page, table, column).agg(F.first("__l").alias("__left"))
-    lefts = lefts.withColumn("__next", F.lead("__left").over(W.partitionBy(*page, table).orderBy(column))).drop("__left")
-    c = c.join(lefts, [*page, table, column])
-    return c.withColumns({"x1": F.col("__l"), "x2": F.coalesce("__next", "__r"), "y1": F.col("__t"), "y2": F.col("__b")}).drop("__l", "__r", "__t", "__b", "__next")
+    """Cells of a lattice on the rounded medians of their rows and columns; a column ends where the next begins, a row likewise."""
+
+    def bands(key: str, lo: str, hi: str, p: str) -> DataFrame:
+        whole = lambda c: F.floor(F.median(c) + 0.5)
+        g = cells.where(F.col(row).isNotNull() & F.col(column).isNotNull()).groupBy(*page, table, key).agg(whole(lo).alias(f"{p}lo"), whole(hi).alias(f"{p}hi"))
+        nxt = F.lead(f"{p}lo").over(W.partitionBy(*page, table).orderBy(f"{p}lo", key))
+        return g.withColumn(f"{p}hi", F.coalesce(nxt, f"{p}hi"))
+
+    c = cells.join(bands(column, "x1", "x2", "__c"), [*page, table, column]).join(bands(row, "y1", "y2", "__r"), [*page, table, row])
+    return c.withColumns({"x1": F.col("__clo").cast("double"), "x2": F.col("__chi").cast("double"), "y1": F.col("__rlo").cast("double"), "y2": F.col("__rhi").cast("double")}).drop("__clo", "__chi", "__rlo", "__rhi")
 
 
 def merged_intervals(df: DataFrame, by: list[str], lo: str = "lo", hi: str = "hi") -> DataFrame:
