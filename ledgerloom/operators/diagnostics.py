@@ -228,8 +228,8 @@ def adjudicate(findings: DataFrame, confirmations: DataFrame, before: DataFrame)
     A finding is confirmed if its flag_id and text are; one of the earlier run that is gone was corrected.
     """
     key = ["flag_id"]
-    ok = confirmations.select("flag_id", F.col("text").alias("__text")).distinct()
-    now = findings.join(ok, (findings["flag_id"] == ok["flag_id"]) & findings["text"].eqNullSafe(ok["__text"]), "left").select(findings["check"], findings["flag_id"], ok["flag_id"].isNotNull().alias("confirmed"))
+    ok = confirmations.select(F.col("flag_id").alias("__id"), F.col("text").alias("__text")).distinct()
+    now = findings.join(ok, (F.col("flag_id") == F.col("__id")) & F.col("text").eqNullSafe(F.col("__text")), "left").select("check", "flag_id", F.col("__id").isNotNull().alias("confirmed"))
     gone = before.join(findings.select(*key).distinct(), key, "left_anti").select("check", "flag_id")
     a = now.groupBy("check").agg(F.count("*").alias("flagged"), F.sum(F.col("confirmed").cast("bigint")).alias("confirmed"))
     b = gone.groupBy("check").agg(F.count("*").alias("corrected"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import geometry
+from ledgerloom.runtime import by_group
 
 MATCH, TIGHT = 0.5, 0.9
 
@@ -18,17 +19,16 @@ def matched_boxes(truth: DataFrame, predicted: DataFrame, page: list[str], least
     pairs = geometry.box_pairs(truth, predicted, page).where(F.col("a_label").eqNullSafe(F.col("b_label"))).withColumn("iou", geometry.iou()).where(F.col("iou") >= least)
     pairs = pairs.select(*page, F.coalesce("a_label", F.lit("")).alias("label"), F.col("a_idx").alias("truth_idx"), F.col("b_idx").alias("predicted_idx"), "iou")
 
-    def greedy(pdf):
-        rows = pdf.sort_values(["iou", "truth_idx", "predicted_idx"], ascending=[False, True, True])
+    def greedy(rows: list[dict]) -> list[dict]:
         g, p, keep = set(), set(), []
-        for at, (i, j) in enumerate(zip(rows["truth_idx"], rows["predicted_idx"])):
-            if i not in g and j not in p:
-                g.add(i)
-                p.add(j)
-                keep.append(at)
-        return rows.iloc[keep]
-
-    return pairs.groupBy(*page, "label").applyInPandas(greedy, pairs.schema)
+        for r in sorted(rows, key=lambda r: (-r["iou"], r["truth_idx"], r["predicted_idx"])):
+            if r["truth_idx"] not in g and r["predicted_idx"] not in p:
+                g.add(r["truth_idx"])
+                p.add(r["predicted_idx"])
+                keep.append(r)
+        return keep
+
+    return by_group(pairs, [*page, "label"], [], greedy, "truth_idx int, predicted_idx int, iou double")
 
 
 def corrections(truth: DataFrame, predicted: DataFrame, page: list[str]) -> DataFrame:

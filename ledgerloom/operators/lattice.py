@@ -1,6 +1,6 @@
 """Lattices of cells on a page: scans whose steps depend on each other and stay within one page.
 
-Every operator here groups by page and runs a page in one Arrow batch; a page has about a hundred boxes. Input order
+Every operator here runs page by page in sorted partitions; a page has about a hundred boxes. Input order
 is (y1, x1, idx), so results don't depend on how rows arrive. Boxes with a null edge are left out.
 """
 
@@ -12,26 +12,15 @@ from statistics import median
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.runtime import by_group
+
 BAND, NEAR, SHARE = 10.0, 600.0, 0.5
 
 
 def per_page(df: DataFrame, page: list[str], work: Callable[[list[dict]], list[dict]], schema: str) -> DataFrame:
     """`work` applied to the boxes of each page as a list of dicts; `schema` names what it gives besides the page's keys."""
-    kinds = dict(df.dtypes)
-    names = [c.strip().split(" ")[0] for c in schema.split(",")]
-
-    def run(pdf):
-        import pandas as pd
-
-        boxes = pdf.astype(object).where(pdf.notna(), None).to_dict("records")
-        boxes = [b for b in boxes if all(b.get(k, 0) is not None for k in ("x1", "y1", "x2", "y2"))]
-        boxes.sort(key=lambda b: (b["y1"], b["x1"], b["idx"]))
-        out = pd.DataFrame([[r.get(n) for n in names] for r in work(boxes)], columns=names)
-        for k, v in zip(page, pdf[page].iloc[0]):
-            out[k] = v
-        return out[[*page, *names]]
-
-    return df.groupBy(*page).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in page) + ", " + schema)
+    good = df.where("x1 is not null and y1 is not null and x2 is not null and y2 is not null")
+    return by_group(good, page, ["y1", "x1", "idx"], work, schema)
 
 
 def _groups(spans: list[tuple[float, float]]) -> list[int]:

@@ -38,3 +38,43 @@ def ranked(df: DataFrame, order: list, name: str) -> DataFrame:
     d = cut(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
     counts = d.groupBy("__p").agg(F.count("*").alias("__c")).withColumn("__o", F.coalesce(F.sum("__c").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("__p", "__o")
     return d.withColumn(name, F.row_number().over(W.partitionBy("__p").orderBy(*order))).join(F.broadcast(counts), "__p").withColumn(name, F.col(name) + F.col("__o")).drop("__p", "__o")
+
+
+def by_group(df: DataFrame, keys: list[str], order: list[str], work, schema: str) -> DataFrame:
+    """`work` (a list of dicts -> a list of dicts) on each group, in `order`; `schema` names what it gives besides the keys.
+
+    Groups are met one after the other in sorted partitions, so thousands of small groups share an Arrow batch and a
+    worker holds one group at a time. For groups with a natural bound, such as the boxes of a page.
+    """
+    kinds = dict(df.dtypes)
+    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+
+    def run(batches):
+        import pandas as pd
+
+        cols, at, group, out = None, None, [], []
+
+        def flush():
+            if group:
+                out.extend((*at, *[r.get(n) for n in names]) for r in work(group))
+
+        def frame():
+            return pd.DataFrame(out, columns=[*keys, *names], dtype=object)
+
+        for b in batches:
+            cols = cols or list(b.columns)
+            values = [b[c].astype(object).where(b[c].notna(), None).tolist() for c in cols]
+            where = [cols.index(k) for k in keys]
+            for row in zip(*values):
+                key = tuple(row[i] for i in where)
+                if key != at:
+                    flush()
+                    at, group = key, []
+                group.append(dict(zip(cols, row)))
+            yield frame()
+            out = []
+        flush()
+        yield frame()
+
+    full = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + schema
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, full)
