@@ -50,14 +50,14 @@ def first_line(c: Column, limit: int = 80) -> Column:
 
 def lines(c: Column) -> Column:
     """The lines of a cell, trimmed, without blank lines at the end; at least one."""
-    trimmed = F.transform(F.split(F.coalesce(c, F.lit("")), "\n"), F.trim)
+    trimmed = F.transform(F.split(F.coalesce(c, F.lit("")), "\n"), lambda x: F.trim(x))
     keep = F.size(F.split(F.regexp_replace(F.array_join(trimmed, "\n"), r"\n+$", ""), "\n"))
     return F.slice(trimmed, 1, F.greatest(keep, F.lit(1)))
 
 
 def positioned_lines(c: Column) -> Column:
     """The lines of a text with blank ones in place; none for null or empty."""
-    return F.when(F.coalesce(c, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(c, "\n"), F.trim))
+    return F.when(F.coalesce(c, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(c, "\n"), lambda x: F.trim(x)))
 
 
 def line_count(c: Column) -> Column:
@@ -67,7 +67,7 @@ def line_count(c: Column) -> Column:
 
 def strip_short_lines(c: Column, least: int = 3) -> Column:
     """Without blank lines and lines under `least` characters, numbers of one or two digits excepted."""
-    kept = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "\n"), F.trim), lambda x: (F.length(x) >= least) | x.rlike(r"^\d{1,2}$"))
+    kept = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: (F.length(x) >= least) | x.rlike(r"^\d{1,2}$"))
     return F.array_join(kept, "\n")
 
 
@@ -108,7 +108,7 @@ def natural_key(c: Column) -> Column:
 
 def clean_tags(tags: Column) -> Column:
     """Tags trimmed, without blanks, each once in the order of its first."""
-    return F.array_distinct(F.filter(F.transform(tags, F.trim), lambda t: t != ""))
+    return F.array_distinct(F.filter(F.transform(tags, lambda x: F.trim(x)), lambda t: t != ""))
 
 
 def safe_filename(c: Column) -> Column:
