@@ -78,3 +78,9 @@ def by_group(df: DataFrame, keys: list[str], order: list[str], work, schema: str
 
     full = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + schema
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, full)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores where its files give fewer partitions than there are cores, for work that costs far more than a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
