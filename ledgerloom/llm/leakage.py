@@ -23,6 +23,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.runtime import spread
+
 GRAM, RARE, WORDS, BLOCK = 8, 2, 12, 20_000
 #: Seeds that must lie together, and how far apart their diagonals may be.
 TOGETHER, NEAR = 9, 24
@@ -54,7 +56,7 @@ class Items:
                 by_text[words].append(i)
         self.ids, self.words = list(by_text.values()), list(by_text)
         self.stream = ["".join(w) for w in self.words]
-        self.starts = []
+        self.starts, self.far = [], []
         where: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for k, words in enumerate(self.words):
             at, starts = 0, []
@@ -62,6 +64,7 @@ class Items:
                 starts.append(at)
                 at += len(w)
             self.starts.append([*starts, at])
+            self.far.append(max(b - a for a, b in zip(self.starts[k], self.starts[k][WORDS:])))
             s = self.stream[k]
             for p in range(len(s) - GRAM + 1):
                 where[s[p : p + GRAM]].append((k, p))
@@ -102,13 +105,17 @@ class Items:
         return False
 
     def _aligned(self, k: int, group: list[tuple[int, int, int]], doc: str) -> bool:
-        s = self.stream[k]
-        lo = max(0, group[0][0] - 2 * NEAR)
-        hi = min(len(doc), group[-1][0] + len(s) + 2 * NEAR)
-        reach = [q for _, _, q in group]
-        if hi - lo < WORDS or max(reach) - min(reach) < GRAM:
+        """Whether the alignment around the seeds covers enough words. Twelve words that hold a seed reach no farther from it than `far`."""
+        s, far = self.stream[k], self.far[k]
+        at = [q for _, _, q in group]
+        if max(at) - min(at) < GRAM:
+            return False
+        a, b = max(0, min(at) - far), min(len(s), max(at) + GRAM + far)
+        lo, hi = max(0, group[0][0] + a - 2 * NEAR), min(len(doc), group[-1][0] + b + 2 * NEAR)
+        if hi - lo < WORDS:
             return False
-        partner = smith_waterman(s, doc[lo:hi])
+        partner = [-1] * len(s)
+        partner[a:b] = smith_waterman(s[a:b], doc[lo:hi])
         return self._run(k, partner, s, doc[lo:hi]) >= WORDS
 
     def _run(self, k: int, partner: list[int], s: str, d: str) -> int:
@@ -156,7 +163,7 @@ def smith_waterman(a: str, b: str) -> list[int]:
 def leaks(documents: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:
     """(item_id, doc_id) of every document that holds a passage of an item."""
     spark = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null")
+    docs = spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null"))
     wanted = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("text is not null")
     blocks = max(1, -(-wanted.count() // block))
     schema = "item_id bigint, doc_id bigint"
