@@ -21,7 +21,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PART = "struct<shape_idx:int,kind:string,item_path:string,variant:string,group_id:bigint,label:string,human:string>"
+#: What a box states is kept once beside its parts and joins them only when they are told apart.
+BOX = "struct<shape_idx:int,group_id:bigint,label:string,human:string,parts:array<struct<kind:string,item_path:string,variant:string>>>"
 
 
 def _number(v) -> bool:
@@ -146,26 +147,28 @@ def boxes(doc) -> list:
     return shapes if isinstance(shapes, list) else []
 
 
-def parts(text: str | None) -> list[tuple] | None:
-    """The typed parts of one document in document order, None if it isn't valid JSON."""
+def typed_boxes(text: str | None) -> list[dict] | None:
+    """The boxes of one document with their typed parts in document order, None if it isn't valid JSON."""
     if text is None or not text.strip():
         return None
     try:
         doc = json.loads(text)
     except (ValueError, RecursionError):
         return None
-    out: list[tuple] = []
+    out: list[dict] = []
     for i, b in enumerate(boxes(doc)):
         if not isinstance(b, dict):
             continue
         label, human = b.get("label"), b.get("human_output")
         human = human.get("human_corrected_text") if isinstance(human, dict) else human if isinstance(human, str) else None
-        keys = (whole(b.get("group_id")), label if isinstance(label, str) else "" if label is None else json.dumps(label))
+        label = label if isinstance(label, str) else "" if label is None else json.dumps(label)
+        own: list[dict] = []
+        out.append({"shape_idx": i, "group_id": whole(b.get("group_id")), "label": label, "human": human if isinstance(human, str) else None, "parts": own})
 
-        def put(kind: str, path: str, variant: str, text: str | None = None, i: int = i, keys: tuple = keys) -> None:
-            out.append((i, kind, path, variant, *keys, text))
+        def put(kind: str, path: str, variant: str, own: list = own) -> None:
+            own.append({"kind": kind, "item_path": path, "variant": variant})
 
-        put("shape", "", state(b.get("points")), human if isinstance(human, str) else None)
+        put("shape", "", state(b.get("points")))
         for k, form in _points(b.get("points")):
             put("point", str(k), form)
         for r, row, form in _rows(b.get("row_struct")):
@@ -188,23 +191,23 @@ def shred(page_docs: DataFrame) -> DataFrame:
     A document is read once, where it lies; only its parts are shuffled, and of each page only the save that wins
     so far leaves a task, so that a page saved very often doesn't gather in one place.
     """
-    schema = f"save_id bigint, project string, stem string, saved_at timestamp, parts array<{PART}>"
+    schema = f"save_id bigint, project string, stem string, saved_at timestamp, boxes array<{BOX}>"
 
     def read(batches):
         import pandas as pd
 
-        fields = ("shape_idx", "kind", "item_path", "variant", "group_id", "label", "human")
         for b in batches:
-            found = [parts(t) for t in b["doc"]]
+            found = [typed_boxes(t) for t in b["doc"]]
             keep = [p is not None for p in found]
             rest = b.loc[keep, ["save_id", "project", "stem", "saved_at"]].reset_index(drop=True)
-            rest["parts"] = pd.Series([[dict(zip(fields, x)) for x in p] for p in found if p is not None], dtype=object)
+            rest["boxes"] = pd.Series([p for p in found if p is not None], dtype=object)
             yield rest
 
     saves = page_docs.select("save_id", "project", "stem", "saved_at", "doc").mapInPandas(read, schema)
-    winner = F.max_by(F.struct("save_id", "parts"), F.struct("saved_at", "save_id"))
-    last = saves.groupBy("project", "stem").agg(winner.alias("w")).select("project", "stem", "w.save_id", F.explode("w.parts").alias("p"))
-    return last.select("save_id", "project", "stem", "p.*")
+    winner = F.max_by(F.struct("save_id", "boxes"), F.struct("saved_at", "save_id"))
+    last = saves.groupBy("project", "stem").agg(winner.alias("w")).select("project", "stem", "w.save_id", F.explode("w.boxes").alias("b"))
+    each = last.select("save_id", "project", "stem", "b.shape_idx", "b.group_id", "b.label", "b.human", F.explode("b.parts").alias("p"))
+    return each.select("save_id", "project", "stem", "shape_idx", "p.kind", "p.item_path", "p.variant", "group_id", "label", "human")
 
 
 def flat_parts(page_docs: DataFrame) -> DataFrame:
