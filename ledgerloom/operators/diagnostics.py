@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import numbers
+from ledgerloom.runtime import cut, exact_quantiles
 
 TOLERANCE, IQR_MILD, IQR_EXTREME, MAD_Z, MIN_N, ZERO_SHARE, DIGIT_EXCESS = 0.51, 1.5, 3.0, 3.5, 12, 0.5, 2
 TRAILING = {"min_digits": 2, "min_n": 30, "alpha": 0.01, "min_ratio": 2.0, "expected": 1 / 9}
@@ -76,10 +77,12 @@ def population(values: DataFrame, by: str = "variable") -> DataFrame:
 
 
 def fences(tested: DataFrame, by: str = "variable") -> DataFrame:
-    """(by, n, q1, med, q3, mad) with exact quantiles; two aggregations, the second over the distances to the median."""
-    q = tested.groupBy(by).agg(F.count("*").alias("n"), *[F.expr(f"percentile(t, {x})").alias(a) for x, a in ((0.25, "q1"), (0.5, "med"), (0.75, "q3"))], F.expr("percentile(case when value <> 0 then length(cast(abs(cast(value as bigint)) as string)) end, 0.5)").alias("med_digits"))
-    mad = tested.join(q.select(by, "med"), by).groupBy(by).agg(F.expr("percentile(abs(t - med), 0.5)").alias("mad"))
-    return q.join(mad, by)
+    """(by, n, q1, med, q3, mad, med_digits) with exact quantiles; the deviation is the median distance to the median."""
+    q = cut(exact_quantiles(tested, by, "t", {"q1": 0.25, "med": 0.5, "q3": 0.75}))
+    far = tested.join(q.select(by, "med"), by).withColumn("__d", F.abs(F.col("t") - F.col("med")))
+    mad = exact_quantiles(far, by, "__d", {"mad": 0.5}).select(by, "mad")
+    digits = tested.where("value <> 0").groupBy(by).agg(F.expr("percentile(length(cast(abs(cast(value as bigint)) as string)), 0.5)").alias("med_digits"))
+    return q.join(mad, by).join(digits, by, "left")
 
 
 def outliers(values: DataFrame, by: str = "variable") -> DataFrame:

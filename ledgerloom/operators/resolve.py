@@ -193,3 +193,26 @@ def citations(records: DataFrame, issues: DataFrame, volumes: DataFrame) -> Data
     above = records.join(issues.select("year", F.col("pos").alias("__p"), "entity"), "year").where("previous and __p < pos")
     top = above.groupBy("record").agg(F.max_by("entity", "__p").alias("entity")).withColumn("lane", F.lit("entry above"))
     return met.select("record", "entity", lane.alias("lane")).unionByName(top).distinct()
+
+
+def stripped(name: Column, tokens: list[str], phrases: list[str]) -> Column:
+    """A folded name without words and phrases that tell no firm from another; a name that is nothing else keeps its words."""
+    f = fold(name)
+    bare = f
+    for p in phrases:
+        bare = F.regexp_replace(bare, rf"\b{p}\b", " ")
+    left = F.filter(F.split(F.trim(bare), r"\s+"), lambda w: ~w.isin(tokens) & (w != ""))
+    return F.when(F.size(left) > 0, F.array_join(left, " ")).otherwise(f)
+
+
+def weighted_scores(pairs: DataFrame, weights: DataFrame) -> DataFrame:
+    """`pairs` (q, e) with score: 100 times the weight of the words they share over that of all their words, so that a rare word counts most.
+
+    Words that no entity has weigh as much as the rarest.
+    """
+    most = weights.agg(F.max("weight").alias("__most"))
+    t = pairs.select("q", "e").distinct()
+    words = t.select("q", "e", F.explode(F.array_union(F.split("q", " "), F.split("e", " "))).alias("token"))
+    both = F.array_contains(F.split("q", " "), F.col("token")) & F.array_contains(F.split("e", " "), F.col("token"))
+    w = words.join(weights.select("token", "weight"), "token", "left").join(F.broadcast(most)).withColumn("weight", F.coalesce("weight", "__most", F.lit(1.0)))
+    return w.groupBy("q", "e").agg((100 * F.sum(F.when(both, F.col("weight")).otherwise(0.0)) / F.sum("weight")).alias("score"))

@@ -20,4 +20,18 @@ def p3_variants(spark, root):
     return nested.shred(table(spark, root, "page_docs")).groupBy("kind", "variant").agg(F.count("*").alias("n"))
 
 
+BARE = "lower(regexp_replace(v, '[\\s\\x{00A0}\\x{2009}\\x{202F}]+', '', 'g'))"
+#: The versions of firms by plain windows: what a firm states is compared with what it stated last.
+P1_SQL = f"""WITH RECURSIVE d AS (SELECT from_id AS id, arg_max(to_id, ts) AS nxt FROM edges WHERE type = 'duplicate_of' AND from_id <> to_id GROUP BY 1), c AS (SELECT id, nxt AS canonical, 1 AS k FROM d UNION ALL SELECT c.id, d.nxt, k + 1 FROM c JOIN d ON c.canonical = d.id WHERE k < 50),
+ m AS (SELECT id, canonical FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY k DESC) = 1),
+ l AS (SELECT coalesce(m.canonical, s.entity_id) AS e, as_of, name, parent, attrs FROM slices s LEFT JOIN m ON s.entity_id = m.id QUALIFY row_number() OVER (PARTITION BY coalesce(m.canonical, s.entity_id), as_of ORDER BY recorded_at DESC) = 1),
+ f AS (SELECT e, as_of, 'name' AS k, name AS v FROM l UNION ALL SELECT e, as_of, 'parent', parent FROM l UNION ALL SELECT e, as_of, 'attr ' || k, attrs[k] FROM l, unnest(map_keys(attrs)) t(k)),
+ b AS (SELECT e, as_of, k, {BARE} AS v FROM f WHERE v IS NOT NULL),
+ n AS (SELECT e, as_of, k, CASE WHEN regexp_matches(v, '^[0-9]{{1,3}}([.,][0-9]{{3}})+$') THEN regexp_replace(v, '[.,]', '', 'g') WHEN regexp_matches(v, '^[0-9]+[.,]0+$') THEN regexp_replace(v, '[.,]0+$', '') ELSE v END AS v FROM b WHERE v <> '' UNION ALL SELECT e, as_of, 'seen', '' FROM l),
+ w AS (SELECT *, lag(v) OVER (PARTITION BY e, k ORDER BY as_of) AS was FROM n),
+ g AS (SELECT DISTINCT e, as_of FROM w WHERE (k = 'seen' AND was IS NULL) OR was <> v),
+ x AS (SELECT coalesce(m.canonical, from_id) AS e, as_of AS y FROM edges LEFT JOIN m ON from_id = m.id WHERE type IN ('rename', 'merger', 'legal_form', 'successor') AND as_of IS NOT NULL)
+ SELECT e AS entity_id, as_of AS valid_from, coalesce(lead(as_of) OVER (PARTITION BY e ORDER BY as_of), (SELECT min(y) FROM x WHERE x.e = g.e AND y >= g.as_of), 9999)::INTEGER AS valid_to FROM g"""
+
+ORACLE = {"p1_found": P1_SQL}
 QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_variants": p3_variants}
