@@ -19,6 +19,7 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ from ledgerloom.runtime import spread
 GRAM, RARE, WORDS, BLOCK = 8, 2, 12, 20_000
 #: Seeds that must lie together, and how far apart their diagonals may be.
 TOGETHER, NEAR = 9, 24
+#: Share of the letters of twelve words that seeds must cover before they are aligned; with a tenth of the letters misread about half are covered.
+COVERED = 0.3
 # Letters and digits that scans misread for each other.
 ALIKE = str.maketrans({"i": "l", "j": "l", "1": "l", "0": "o", "6": "o", "5": "s", "8": "b", "c": "e", "q": "g", "9": "g", "ß": "s", "ı": "l", "ø": "o"})
 PAIRS = (("rn", "m"), ("lc", "k"), ("vv", "w"))
@@ -104,11 +107,19 @@ class Items:
                 return True
         return False
 
+    def _covered(self, k: int, at: list[int]) -> bool:
+        """Whether the seeds cover the COVERED share of the letters of some `words` consecutive words."""
+        starts, here = self.starts[k], bytearray(len(self.stream[k]))
+        for q in at:
+            here[q : q + GRAM] = b"\1" * GRAM
+        upto = [0, *accumulate(here)]
+        return any(upto[b] - upto[a] >= COVERED * (b - a) for a, b in zip(starts, starts[WORDS:]))
+
     def _aligned(self, k: int, group: list[tuple[int, int, int]], doc: str) -> bool:
         """Whether the alignment around the seeds covers enough words. Twelve words that hold a seed reach no farther from it than `far`."""
         s, far = self.stream[k], self.far[k]
         at = [q for _, _, q in group]
-        if max(at) - min(at) < GRAM:
+        if not self._covered(k, at):
             return False
         a, b = max(0, min(at) - far), min(len(s), max(at) + GRAM + far)
         lo, hi = max(0, group[0][0] + a - 2 * NEAR), min(len(doc), group[-1][0] + b + 2 * NEAR)
