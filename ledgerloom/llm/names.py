@@ -107,23 +107,44 @@ TABLE = _table()
 LONG = [w for w in TABLE if len(w) >= 5]
 
 
+def shortened(word: str, k: int) -> set[str]:
+    """The word with up to k letters left out. Words within k edits of each other share such a form."""
+    out = last = {word}
+    for _ in range(k):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out = out | last
+    return out
+
+
+def _near() -> dict[str, list[int]]:
+    index: dict[str, list[int]] = {}
+    for n, w in enumerate(LONG):
+        for form in shortened(w, 2 if len(w) >= 8 else 1):
+            index.setdefault(form, []).append(n)
+    return index
+
+
+NEAR_WORDS = _near()
+
+
 @lru_cache(200_000)
 def told(word: str) -> tuple[str, str] | None:
-    """What the table says of a word, with one edit from five letters on and two from eight."""
+    """What the table says of a word, with one edit from five letters on and two from eight: the first of its words that is near enough."""
     word = word.replace("1", "l").replace("0", "o")
     if word in TABLE:
         return TABLE[word]
-    if len(word) < 5:
+    if len(word) < 5 or len(word) > 40:
         return None
-    for w in LONG:
+    for n in sorted({n for form in shortened(word, 2) for n in NEAR_WORDS.get(form, ())}):
+        w = LONG[n]
         k = 2 if len(w) >= 8 else 1
-        if abs(len(w) - len(word)) <= k and edit_distance(word, w, k) <= k:
+        if edit_distance(word, w, k) <= k:
             return TABLE[w]
-    for w in LONG:
-        if TABLE[w][0] == "business" and len(w) >= 8:
-            r = word.replace("rn", "m").replace("lc", "k")
-            if edit_distance(r, w, 1) <= 1:
-                return TABLE[w]
+    r = word.replace("rn", "m").replace("lc", "k")
+    if r != word:
+        for n in sorted({n for form in shortened(r, 1) for n in NEAR_WORDS.get(form, ())}):
+            if TABLE[LONG[n]][0] == "business" and len(LONG[n]) >= 8 and edit_distance(r, LONG[n], 1) <= 1:
+                return TABLE[LONG[n]]
     return None
 
 
@@ -144,8 +165,9 @@ class Seats:
         for k, seat in self.exact.items():
             self.of.setdefault(seat, []).append(k)
         self.find = lru_cache(100_000)(self._find)
+        self.is_form = lru_cache(100_000)(self._is_form)
 
-    def is_form(self, word: str, seat: str | None) -> bool:
+    def _is_form(self, word: str, seat: str | None) -> bool:
         """Whether a word is one of the seat's names or adjectives, up to two misprints."""
         return any(edit_distance(word, k + end, 2) <= (2 if len(k) >= 6 else 1) for k in self.of.get(seat or "", ()) for end in ("", "i", "er", "ban"))
 
