@@ -139,7 +139,8 @@ def resolve(cells: DataFrame, columns: DataFrame, entities: DataFrame, aliases:
     by_value = cut(by_value)
     found = wanted.join(by_value, ["type", "value"], "left")
     sure = found.where("entries is null or size(entries) = 1").select("cell_id", F.coalesce(F.expr("entries[0].entity_id"), F.lit("none")).alias("entity_id"))
-    unsure = found.where("size(entries) > 1")
+    # The few cells whose name several entries share are used twice below.
+    unsure = cut(found.where("size(entries) > 1"))
     county_cols = columns.where("variable = 'county'").select("project", "col_id").distinct()
     counties = (
         cells.where(F.col("value").isNotNull() & ~F.col("value").rlike(DASHES)).join(F.broadcast(county_cols) if columns.count() <= BROADCAST_REFERENCES else county_cols, ["project", "col_id"])
