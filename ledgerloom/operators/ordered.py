@@ -65,17 +65,22 @@ def open_role(df: DataFrame, by: list[str], order: list[str], role: str) -> Data
     return d.withColumn("open_at_end", F.coalesce("__r", F.lit("start")) == "start").drop("__r")
 
 
-def fragments(df: DataFrame, page: list[str], by: list[str], role: str, bottom: str) -> DataFrame:
-    """(page..., by..., y1, y2, continuation): pieces from each start mark to the next mark or the end of the column, and the piece a column begins with if the one before it was open.
+def fragments(df: DataFrame, volume: list[str], page: list[str], by: list[str], role: str, bottom: str, carry_open: bool = True) -> DataFrame:
+    """(volume..., page..., by..., y1, y2, continuation): pieces from each start mark to the next mark or the end of the column, and the piece a column begins with if a record is open there.
 
-    `df` has the marks (role start or stop) with y1; `bottom` is the end of their column; columns are read in the order of `by`.
+    `df` has the marks (role start or stop) with y1, and a row without a role for a column that has no mark; `bottom` is the end of the column. A volume
+    is read page by page and column by column in the order of `page` and `by`; a record is open before its first mark if `carry_open`.
     """
-    order = [*page, *by, "y1"]
-    flow = W.orderBy(*order) if not page[:-1] else W.partitionBy(*page[:-1]).orderBy(*order)
-    col = W.partitionBy(*page, *by).orderBy("y1")
-    d = df.where(F.col(role).isin("start", "stop")).withColumn("__next", F.lead("y1").over(col)).withColumn("__prev", F.lag(role).over(flow)).withColumn("__k", F.row_number().over(col))
-    own = d.where(F.col(role) == "start").select(*page, *by, "y1", F.coalesce("__next", bottom).alias("y2"), F.lit(False).alias("continuation"))
-    lead = d.where((F.col("__k") == 1) & (F.coalesce("__prev", F.lit("stop")) == "start")).select(*page, *by, F.lit(0.0).alias("y1"), F.col("y1").alias("y2"), F.lit(True).alias("continuation"))
+    keys = [*volume, *page, *by]
+    flow = W.partitionBy(*volume).orderBy(*page, *by, "y1")
+    col = W.partitionBy(*keys).orderBy("y1")
+    d = df.withColumn("__m", F.when(F.col(role).isin("start", "stop"), F.col(role)))
+    d = d.withColumn("__before", F.last("__m", ignorenulls=True).over(flow.rowsBetween(W.unboundedPreceding, -1))).withColumn("__k", F.row_number().over(col))
+    d = d.withColumn("__first", F.min(F.when(F.col("__m").isNotNull(), F.col("y1"))).over(W.partitionBy(*keys)))
+    marks = d.where("__m is not null").withColumn("__next", F.lead("y1").over(col))
+    own = marks.where("__m = 'start'").select(*keys, "y1", F.coalesce("__next", bottom).alias("y2"), F.lit(False).alias("continuation"))
+    opened = F.coalesce("__before", F.lit("start" if carry_open else "stop")) == "start"
+    lead = d.where((F.col("__k") == 1) & opened).select(*keys, F.lit(0.0).alias("y1"), F.coalesce("__first", bottom).alias("y2"), F.lit(True).alias("continuation"))
     return own.unionByName(lead).where("y2 > y1")
 
 

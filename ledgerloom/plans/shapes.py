@@ -204,7 +204,7 @@ def issue_fill(spark, root):
  SELECT user_id, CAST(event_id AS DOUBLE) AS y1, CAST(coalesce(nx, 1000000) AS DOUBLE) AS y2 FROM k WHERE role = 'start'""")
 def fragment_spans(spark, root):
     e = table(spark, root, "events").select("user_id", F.lit(0).alias("column"), F.col("event_id").cast("double").alias("y1"), F.when(F.col("event_type") == "click", "start").when(F.col("event_type") == "error", "stop").alias("role"), F.lit(1000000.0).alias("bottom"))
-    return ordered.fragments(e, ["user_id"], ["column"], "role", "bottom").where("not continuation").select("user_id", "y1", "y2")
+    return ordered.fragments(e, ["user_id"], [], ["column"], "role", "bottom").where("not continuation").select("user_id", "y1", "y2")
 
 
 @query("WITH " + EVENTS + """ SELECT user_id, n, first_page, last_page FROM (SELECT user_id, count(*) AS n, arg_min(event_id // 1000, event_id) AS first_page, arg_max(event_id // 1000, event_id) AS last_page FROM ev GROUP BY 1)""")

@@ -179,3 +179,12 @@ def test_drift_of_a_frozen_set(spark, rows):
 def test_training_pages(spark, rows):
     p = spark.createDataFrame([(1, "verified"), (2, "verified"), (3, "skip"), (4, None), (5, "")], "page int, status string")
     assert rows(curation.training_pages(p, boxes(spark, [(1, 0, "a", 0, 0, 1, 1, None), (4, 0, "a", 0, 0, 1, 1, None)]), ["verified"], ["page"])) == [(1, "positive"), (2, "negative"), (3, "skipped"), (4, "status"), (5, "status")]
+
+
+def test_fragments_go_on_over_pages(spark, rows):
+    data = [("v", 1, 10.0, "start"), ("v", 1, 50.0, "start"), ("v", 2, 0.0, None), ("v", 3, 20.0, "stop"), ("v", 3, 60.0, "start"), ("v", 4, 5.0, "start"), ("w", 1, 30.0, "stop"), ("w", 2, 9.0, None)]
+    d = spark.createDataFrame([(*r, 100.0) for r in data], "vol string, page int, y1 double, role string, bottom double")
+    want = [("v", 1, 10.0, 50.0, False), ("v", 1, 50.0, 100.0, False), ("v", 2, 0.0, 100.0, True), ("v", 3, 0.0, 20.0, True), ("v", 3, 60.0, 100.0, False), ("v", 4, 0.0, 5.0, True), ("v", 4, 5.0, 100.0, False)]
+    assert rows(ordered.fragments(d, ["vol"], ["page"], [], "role", "bottom", carry_open=False)) == sorted(want, key=str)
+    more = [*want, ("v", 1, 0.0, 10.0, True), ("w", 1, 0.0, 30.0, True)]
+    assert rows(ordered.fragments(d, ["vol"], ["page"], [], "role", "bottom")) == sorted(more, key=str)
