@@ -33,5 +33,22 @@ P1_SQL = f"""WITH RECURSIVE d AS (SELECT from_id AS id, arg_max(to_id, ts) AS nx
  x AS (SELECT coalesce(m.canonical, from_id) AS e, as_of AS y FROM edges LEFT JOIN m ON from_id = m.id WHERE type IN ('rename', 'merger', 'legal_form', 'successor') AND as_of IS NOT NULL)
  SELECT e AS entity_id, as_of AS valid_from, coalesce(lead(as_of) OVER (PARTITION BY e ORDER BY as_of), (SELECT min(y) FROM x WHERE x.e = g.e AND y >= g.as_of), 9999)::INTEGER AS valid_to FROM g"""
 
-ORACLE = {"p1_found": P1_SQL}
+#: The parts of pages by DuckDB's JSON functions, for the forms the test tables have.
+P3_SQL = """WITH v AS (SELECT save_id, project, stem, saved_at, doc::JSON AS d FROM (SELECT * FROM page_docs WHERE json_valid(doc)) QUALIFY row_number() OVER (PARTITION BY project, stem ORDER BY saved_at DESC, save_id DESC) = 1),
+ o AS (SELECT save_id, CASE WHEN json_type(d) = 'ARRAY' THEN d->0 ELSE d END AS d FROM v), p AS (SELECT save_id, CASE WHEN json_type(d, '$.page') = 'OBJECT' THEN d->'page' ELSE d END AS d FROM o),
+ l AS (SELECT save_id, from_json(d->'shapes', '["JSON"]') AS l FROM p WHERE json_type(d, '$.shapes') = 'ARRAY'), s AS (SELECT save_id, unnest(l) AS s, generate_subscripts(l, 1) - 1 AS i FROM l),
+ b AS (SELECT save_id, i, s, coalesce(CASE WHEN TRY_CAST(s->>'group_id' AS DOUBLE) = floor(TRY_CAST(s->>'group_id' AS DOUBLE)) THEN TRY_CAST(TRY_CAST(s->>'group_id' AS DOUBLE) AS BIGINT) END, -1) AS group_id, coalesce(s->>'label', '') AS label,
+   CASE WHEN json_type(s, '$.row_struct') = 'VARCHAR' THEN (s->>'row_struct')::JSON ELSE s->'row_struct' END AS rs, s->'structured'->'data'->'other_names' AS n FROM s WHERE json_type(s) = 'OBJECT'),
+ pt AS (SELECT *, from_json(s->'points', '["JSON"]') AS l FROM b WHERE json_type(s, '$.points') = 'ARRAY'),
+ pc AS (SELECT *, CASE WHEN json_type(l[1]) IN ('ARRAY', 'OBJECT') THEN len(l) ELSE len(l) // 2 END AS c FROM pt),
+ rl AS (SELECT *, from_json(CASE json_type(rs) WHEN 'OBJECT' THEN rs->'rows' ELSE rs END, '["JSON"]') AS l FROM b WHERE json_type(CASE json_type(rs) WHEN 'OBJECT' THEN rs->'rows' ELSE rs END) = 'ARRAY'),
+ rw AS (SELECT *, unnest(l) AS r, generate_subscripts(l, 1) - 1 AS k FROM rl),
+ cl AS (SELECT *, from_json(r->'authority'->'candidates', '["JSON"]') AS cs FROM rw WHERE json_type(r, '$.authority.candidates') = 'ARRAY'), cd AS (SELECT *, unnest(cs) AS c, generate_subscripts(cs, 1) - 1 AS j FROM cl),
+ nl AS (SELECT *, CASE json_type(n) WHEN 'ARRAY' THEN from_json(n, '["JSON"]') ELSE [n] END AS l FROM b WHERE json_type(n) IN ('ARRAY', 'OBJECT', 'VARCHAR')), nm AS (SELECT *, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS k FROM nl)
+ SELECT save_id, CAST(i AS INTEGER) AS shape_idx, kind, item_path, group_id, label FROM (
+  SELECT save_id, i, 'shape' AS kind, '' AS item_path, group_id, label FROM b UNION ALL SELECT save_id, i, 'point', CAST(unnest(range(c)) AS VARCHAR), group_id, label FROM pc
+  UNION ALL SELECT save_id, i, 'row', CAST(k AS VARCHAR), group_id, label FROM rw WHERE json_type(r) <> 'NULL' UNION ALL SELECT save_id, i, 'candidate', k || '.' || j, group_id, label FROM cd WHERE json_type(c) <> 'NULL'
+  UNION ALL SELECT save_id, i, 'other_name', CAST(k AS VARCHAR), group_id, label FROM nm WHERE json_type(x) <> 'NULL')"""
+
+ORACLE = {"p1_found": P1_SQL, "p3_found": P3_SQL}
 QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_variants": p3_variants}
