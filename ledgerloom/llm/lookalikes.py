@@ -16,6 +16,7 @@ value is just many words; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -40,7 +41,9 @@ TO_LATIN = CYRILLIC | GREEK | ARMENIAN | LATIN
 TO_CYRILLIC = {v: k for k, v in reversed(list(CYRILLIC.items())) if k not in "ɡ"}
 TO_GREEK = {v: k for k, v in reversed(list(GREEK.items()))}
 #: What surely needs no look: everything else makes a word a suspect.
-SURE = r"^[\x21-\x7e¡§«°±¶»¿-ž–—‘-„…−]*$"
+SURE_CHARS = r"\x21-\x7e¡§«°±¶»¿-İĴ-ľŁ-ňŊ-ž–—‘-„…−"
+SURE = f"^[{SURE_CHARS}]*$"
+CLEAN = re.compile(f"[ {SURE_CHARS}]*")
 FIELDS = ("field", "row_key", "shape_idx")
 
 
@@ -78,6 +81,8 @@ def flat(c: str) -> str:
 
 def by_table(word: str) -> str:
     """The plain form of a word: no unseen characters, one script, single accented letters."""
+    if CLEAN.fullmatch(word):
+        return word
     bare = unicodedata.normalize("NFC", "".join(flat(c) for c in word))
     return " ".join(_one_script(w) for w in bare.split(" "))
 
