@@ -23,7 +23,7 @@ EVENTS = (
 
 def printed(c: Column) -> Column:
     """Lower case without accents, letter-spacing and words broken at a line end closed up."""
-    return F.lower(unaccent(F.regexp_replace(unspaced(c), r"(\w)-\s+(\w)", "$1$2")))
+    return F.lower(F.regexp_replace(unaccent(unspaced(c)), r"(?U)(\w)-\s+(\w)", "$1$2"))
 
 
 def _month(name: Column) -> Column:

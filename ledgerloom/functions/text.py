@@ -112,7 +112,7 @@ def clean_tags(tags: Column) -> Column:
 
 
 def safe_filename(c: Column) -> Column:
-    return F.regexp_replace(F.trim(c), r"[^\w.\-]+", "_")
+    return F.regexp_replace(F.trim(c), r"(?U)[^\w.\-]+", "_")
 
 
 def crop_stem(stem: Column, k: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import numbers
 from ledgerloom.runtime import cut, exact_quantiles
 
+# The thresholds the checks are known by.
 TOLERANCE, IQR_MILD, IQR_EXTREME, MAD_Z, MIN_N, ZERO_SHARE, DIGIT_EXCESS = 0.51, 1.5, 3.0, 3.5, 12, 0.5, 2
 TRAILING = {"min_digits": 2, "min_n": 30, "alpha": 0.01, "min_ratio": 2.0, "expected": 1 / 9}
 ESD = {"alpha": 0.05, "max_frac": 0.05}

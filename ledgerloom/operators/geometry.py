@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 BOX = ("x1", "y1", "x2", "y2")
+# What share of a page makes a box wide, where a gutter is looked for, and how wide it must be.
 WIDE, SEARCH, GUTTER = 0.7, (0.25, 0.75), 0.03
 
 

@@ -13,10 +13,11 @@ from ledgerloom.operators.history import canonical_ids
 
 # What an agreement adds to a candidate's score.
 BOOSTS = {"seat": 12.0, "founded": 10.0, "county": 4.0, "legal_form": 3.0, "court": 8.0}
-BOOST_ISSUE, BOOST_KEY, BOOST_CONTEXT = 25.0, 40.0, 12.0
+BOOST_ISSUE, BOOST_KEY = 25.0, 40.0
+# The tiers of a name's score, the gap to the runner-up, and how many candidates are kept.
 SURE, GOOD, WEAK, MARGIN, FLOOR, TOP = 95.0, 85.0, 70.0, 5.0, 70.0, 8
-#: Words of a court's name that tell no court from another.
-COURT_WORDS = ("kir", "kiralyi", "torvenyszek", "tszek", "valtotorvenyszek", "mint", "kereskedelmi", "birosag", "kereskedelmi")
+# Words of a court's name that tell no court from another.
+COURT_WORDS = ("kir", "kiralyi", "torvenyszek", "tszek", "valtotorvenyszek", "mint", "kereskedelmi", "birosag")
 
 
 def similarity(a: Column, b: Column) -> Column:

@@ -213,13 +213,13 @@ def record_collection(spark, root):
     return ordered.records(e, [], "user_id", ["event_id"], "page", "text").select("user_id", F.col("n_fragments").alias("n"), "first_page", "last_page")
 
 
-@query("""WITH p AS (SELECT o_orderstatus AS s, CASE WHEN o_orderkey % 97 = 0 THEN 'cover' ELSE 'page_' || (o_orderkey - o_orderkey % 13 // 12) END AS stem FROM orders WHERE o_orderkey % 10 < 7),
+@query("""WITH p AS (SELECT o_orderstatus AS s, CASE WHEN o_orderkey % 97 = 0 THEN 'cover' ELSE 'page_' || (o_orderkey + 3 * (o_orderkey // 50) - o_orderkey % 13 // 12) END AS stem FROM orders),
  n AS (SELECT s, stem, TRY_CAST(nullif(regexp_extract(stem, '(\\d+)\\D*$', 1), '') AS BIGINT) AS k FROM p), d AS (SELECT DISTINCT s, k FROM n WHERE k IS NOT NULL), g AS (SELECT s, k, lag(k) OVER (PARTITION BY s ORDER BY k) AS b FROM d)
  SELECT s, 'not numbered' AS finding, stem AS value FROM n WHERE k IS NULL UNION ALL SELECT s, 'twice', CAST(k AS VARCHAR) FROM n WHERE k IS NOT NULL GROUP BY s, k HAVING count(*) > 1
  UNION ALL SELECT s, 'missing', CASE WHEN k - b = 2 THEN CAST(b + 1 AS VARCHAR) ELSE (b + 1) || '-' || (k - 1) END FROM g WHERE k - b > 1""")
 def page_order(spark, root):
-    o = table(spark, root, "orders").where("o_orderkey % 10 < 7")
-    k = F.col("o_orderkey") - F.floor(F.col("o_orderkey") % 13 / 12)
+    o = table(spark, root, "orders")
+    k = F.col("o_orderkey") + 3 * F.floor(F.col("o_orderkey") / 50) - F.floor(F.col("o_orderkey") % 13 / 12)
     stem = F.when(F.col("o_orderkey") % 97 == 0, "cover").otherwise(F.concat(F.lit("page_"), k.cast("string")))
     return ordered.page_order(o.select(F.col("o_orderstatus").alias("s"), stem.alias("stem")), ["s"])
 
