@@ -61,19 +61,55 @@ def token_weights(names: DataFrame, key: str, name: str) -> DataFrame:
     return t.groupBy("token").agg(F.countDistinct(key).alias("df")).join(F.broadcast(n)).select("token", (F.log((F.col("__n") + 1) / (F.col("df") + 1)) + 1).alias("weight"))
 
 
+def _letters(c: Column) -> list[Column]:
+    """Bits of a folded text: which letters and digits it has once, and which letters twice, three and four times or more."""
+    count = lambda ch: F.length(c) - F.length(F.replace(c, F.lit(ch), F.lit("")))
+    bit = lambda yes, i: F.when(yes, F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    abc, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    low = [bit(count(ch) >= n, i + 26 * (n - 1)) for n in (1, 2) for i, ch in enumerate(abc)] + [bit(count(ch) >= 1, 52 + i) for i, ch in enumerate(digits)]
+    high = [bit(count(ch) >= n, i + 26 * (n - 3)) for n in (3, 4) for i, ch in enumerate(abc)]
+    return [sum(bits[1:], bits[0]) for bits in (low, high)]
+
+
+def similar_texts(left: DataFrame, right: DataFrame, floor: float, salts: int = 16) -> DataFrame:
+    """(q, e, score): all pairs of the folded texts `left` (q) and `right` (e) whose similarity is `floor` or more; none is left out.
+
+    Texts meet by length: with d edits over the longer text at most (1 - floor / 100), the shorter has at least floor / 100 of its length. An
+    edit takes away and adds at most one letter, so pairs whose letters differ more are dropped by their bits before the edit distance is taken.
+    """
+    if not 0 < floor <= 100:
+        raise ValueError("floor is above 0 and at most 100")
+    share, near = floor / 100, 1e-9
+    l1, l2 = _letters(F.col("q"))
+    r1, r2 = _letters(F.col("e"))
+    n = F.length("q")
+    # A length is spread over `salts` keys, so that the most frequent one is not one task's.
+    le = left.select("q").distinct().withColumns({"q1": l1, "q2": l2, "salt": F.pmod(F.xxhash64("q"), F.lit(salts)).cast("int")})
+    le = le.withColumn("n", F.explode(F.sequence(F.ceil(n * share - near).cast("int"), F.floor(n / share + near).cast("int"))))
+    ri = right.select("e").distinct().withColumns({"e1": r1, "e2": r2, "n": F.length("e")}).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    borne = F.floor((1 - share) * F.greatest(F.length("q"), F.col("n")) + near).cast("int")
+    more = lambda a, b: F.bit_count(F.col(f"{a}1").bitwiseAND(F.bitwise_not(F.col(f"{b}1")))) + F.bit_count(F.col(f"{a}2").bitwiseAND(F.bitwise_not(F.col(f"{b}2"))))
+    parts = 4 * salts
+    met = le.repartition(parts, "n", "salt").join(ri.repartition(parts, "n", "salt").hint("shuffle_hash"), ["n", "salt"]).where((more("q", "e") <= borne) & (more("e", "q") <= borne))
+    return met.select("q", "e", similarity(F.col("q"), F.col("e")).alias("score")).where(F.col("score") >= floor)
+
+
 def candidates(queries: DataFrame, names: DataFrame, weights: DataFrame, floor: float = FLOOR, top: int = TOP, rare: float | None = None) -> DataFrame:
-    """(record, entity, score, rank): the entities whose names share a token with a query, the best score of all queries each.
+    """(record, entity, score, rank): the entities with a name that scores `floor` or more against a query, the best score of all queries each.
 
-    `queries` is (record, query), `names` (entity, name). Tokens block; the score is the similarity of the whole folded names.
-    Tokens lighter than `rare` don't block by themselves, an equal name always does.
+    `queries` is (record, query), `names` (entity, name). The score is the similarity of the whole folded names; a common token is not needed.
+    With `rare`, only names that are equal or share a token of that weight meet.
     """
     q = queries.select("record", F.nullif(fold(F.col("query")), F.lit("")).alias("q")).where("q is not null").distinct()
     e = names.select("entity", F.nullif(fold(F.col("name")), F.lit("")).alias("e")).where("e is not null").distinct()
-    w = weights if rare is None else weights.where(F.col("weight") >= rare)
-    tokens = lambda d, c: d.select("*", F.explode(F.array_distinct(F.split(c, " "))).alias("token"))
-    texts = tokens(q.select("q").distinct(), "q").join(w.select("token"), "token", "left_semi").join(tokens(e.select("e").distinct(), "e"), "token").select("q", "e").distinct()
-    texts = texts.unionByName(q.select("q", F.col("q").alias("e")).join(e.select("e").distinct(), "e", "left_semi").select("q", "e")).distinct()
-    scored = texts.withColumn("score", similarity(F.col("q"), F.col("e"))).where(F.col("score") >= floor)
+    if rare is None:
+        scored = similar_texts(q, e, floor)
+    else:
+        w = weights.where(F.col("weight") >= rare)
+        tokens = lambda d, c: d.select("*", F.explode(F.array_distinct(F.split(c, " "))).alias("token"))
+        texts = tokens(q.select("q").distinct(), "q").join(w.select("token"), "token", "left_semi").join(tokens(e.select("e").distinct(), "e"), "token").select("q", "e").distinct()
+        texts = texts.unionByName(q.select("q", F.col("q").alias("e")).join(e.select("e").distinct(), "e", "left_semi").select("q", "e")).distinct()
+        scored = texts.withColumn("score", similarity(F.col("q"), F.col("e"))).where(F.col("score") >= floor)
     met = q.join(scored, "q").join(e, "e").groupBy("record", "entity").agg(F.max("score").alias("score"))
     return met.withColumn("rank", F.row_number().over(W.partitionBy("record").orderBy(F.col("score").desc(), "entity"))).where(F.col("rank") <= top)
 
