@@ -27,3 +27,17 @@ def test_frames(spark, rows):
     by = {r.source: (r.documents, r["cut"]) for r in cutoff.by_source(d).collect()}
     assert by == {"limited": (7, 7), "free": (3, 1), None: (2, 2)}
     assert cutoff.truncated(d.where("false")).count() == 0
+
+
+def test_an_open_bracket_decides(spark, rows):
+    sound = [(i, f"Megszűnt (1861. évi május {i}-én) a gép. Kész.", "feed") for i in range(10, 20)]
+    inside = [(30, "Megszűnt a gép. A váltó (1861.", "feed"), (31, "Ez kész. A gép (1861. évi május.", "feed"), (32, "Siehe Blatt (vgl. Bd. 3.", None)]
+    # Far from the end, or in a text that lost other marks, an opener says nothing; nor does a closed one.
+    other = [(40, "Megszűnt (1861. évi május a gép. " + "Ez egy mondat. " * 5, "feed"), (41, "A gép 12-én) a váltó (1861. kész.", "feed"), (42, "A (gép és (a váltó. Kész (1861.", "feed"), (43, "A gép (1861).", "feed")]
+    d = spark.createDataFrame(sound + inside + other, "doc_id bigint, text string, source string")
+    assert rows(cutoff.truncated(d)) == [(30,), (31,), (32,)]
+
+
+def test_marks_without_partner():
+    assert cutoff.read_marks("a) (b [c) d (") == ([(")", 12)], 2, 6)
+    assert cutoff.read_marks("<b>x</i></b>") == ([], 1, 12)
