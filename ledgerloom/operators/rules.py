@@ -143,7 +143,8 @@ def best_edits(rows: DataFrame, rules: list[dict], keys: list[str], names: list[
 def fewest_edits(rows: DataFrame, rules: list[dict], keys: list[str], names: list[str], depth: int = 4, states: int = 15_000) -> DataFrame:
     """(keys..., edits): for each row in violation the fewest one-digit edits that satisfy all rules, as JSON, null if none is found within the bounds.
 
-    The bounds are those of one row's search; no row is left out.
+    The bounds are those of one row's search; no row is left out. At most `states` states are carried on to the next edit, every edit of
+    those is tested.
     """
     import json
 
@@ -169,6 +170,16 @@ def fewest_edits(rows: DataFrame, rules: list[dict], keys: list[str], names: lis
                     out.append(vs)
             return out
 
+        def holds(v):
+            for a, b, op, tol, _ in code:
+                try:
+                    d = eval(a, safe, v) - eval(b, safe, v)  # noqa: S307 - checked by compile_rule
+                except ZeroDivisionError:
+                    continue
+                if d < -tol if op == ">=" else d > tol if op == "<=" else abs(d) > tol:
+                    return False
+            return True
+
         def neighbours(s):
             for i in range(len(s) + 1):
                 for d in "0123456789":
@@ -188,24 +199,27 @@ def fewest_edits(rows: DataFrame, rules: list[dict], keys: list[str], names: lis
                 for _ in range(depth):
                     nxt = []
                     for v, path in layer:
-                        for n in sorted(set.intersection(*broken(v)) or set.union(*broken(v))):
+                        # Whatever satisfies all rules edits a variable of each broken one, so those of one rule are enough.
+                        for n in sorted(min(broken(v), key=len)):
                             for s in neighbours(str(int(v[n]))):
                                 if s != "0" and s.startswith("0"):
                                     continue
                                 w = v | {n: float(s)}
                                 key = tuple(w.values())
-                                if key in seen or len(seen) >= states:
+                                if key in seen:
                                     continue
-                                seen.add(key)
-                                if not broken(w):
+                                if holds(w):
                                     answer = [*path, {"variable": n, "old": int(v[n]), "new": int(s)}]
                                     break
-                                nxt.append((w, [*path, {"variable": n, "old": int(v[n]), "new": int(s)}]))
+                                # The bound is on the states that are carried on; those of this layer are tested all the same.
+                                if len(seen) < states:
+                                    seen.add(key)
+                                    nxt.append((w, [*path, {"variable": n, "old": int(v[n]), "new": int(s)}]))
                             if answer:
                                 break
                         if answer:
                             break
-                    if answer or len(seen) >= states:
+                    if answer:
                         break
                     layer = nxt
                 rows_out.append([rec[k] for k in keys] + [json.dumps(answer) if answer else None])

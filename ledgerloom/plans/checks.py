@@ -196,7 +196,7 @@ def single_digit_repairs(spark, root):
 @query()
 def fewest_edits(spark, root):
     """The fewest one-digit edits that satisfy all rules; a bounded search per row."""
-    return rules.fewest_edits(_slips(spark, root), REPAIR, ["row_id"], ["a", "b", "c"], depth=2, states=3000)
+    return rules.fewest_edits(_slips(spark, root), REPAIR, ["row_id"], ["a", "b", "c"])
 
 
 @query()
