@@ -94,22 +94,15 @@ def similar_texts(left: DataFrame, right: DataFrame, floor: float, salts: int =
     return met.select("q", "e", similarity(F.col("q"), F.col("e")).alias("score")).where(F.col("score") >= floor)
 
 
-def candidates(queries: DataFrame, names: DataFrame, weights: DataFrame, floor: float = FLOOR, top: int = TOP, rare: float | None = None) -> DataFrame:
+def candidates(queries: DataFrame, names: DataFrame, floor: float = FLOOR, top: int = TOP) -> DataFrame:
     """(record, entity, score, rank): the entities with a name that scores `floor` or more against a query, the best score of all queries each.
 
-    `queries` is (record, query), `names` (entity, name). The score is the similarity of the whole folded names; a common token is not needed.
-    With `rare`, only names that are equal or share a token of that weight meet.
+    `queries` is (record, query), `names` (entity, name). The score is the similarity of the whole folded names; a common token is not needed, and how frequent
+    a token is plays no part.
     """
     q = queries.select("record", F.nullif(fold(F.col("query")), F.lit("")).alias("q")).where("q is not null").distinct()
     e = names.select("entity", F.nullif(fold(F.col("name")), F.lit("")).alias("e")).where("e is not null").distinct()
-    if rare is None:
-        scored = similar_texts(q, e, floor)
-    else:
-        w = weights.where(F.col("weight") >= rare)
-        tokens = lambda d, c: d.select("*", F.explode(F.array_distinct(F.split(c, " "))).alias("token"))
-        texts = tokens(q.select("q").distinct(), "q").join(w.select("token"), "token", "left_semi").join(tokens(e.select("e").distinct(), "e"), "token").select("q", "e").distinct()
-        texts = texts.unionByName(q.select("q", F.col("q").alias("e")).join(e.select("e").distinct(), "e", "left_semi").select("q", "e")).distinct()
-        scored = texts.withColumn("score", similarity(F.col("q"), F.col("e"))).where(F.col("score") >= floor)
+    scored = similar_texts(q, e, floor)
     met = q.join(scored, "q").join(e, "e").groupBy("record", "entity").agg(F.max("score").alias("score"))
     return met.withColumn("rank", F.row_number().over(W.partitionBy("record").orderBy(F.col("score").desc(), "entity"))).where(F.col("rank") <= top)
 

@@ -267,7 +267,7 @@ def _queries(spark, root):
 @query("WITH " + NAMES_SQL + " SELECT record, entity, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY record ORDER BY score DESC, entity) AS rank FROM m) WHERE rank <= 8")
 def fuzzy_candidates(spark, root):
     q, e = _queries(spark, root)
-    c = resolve.candidates(q, e, resolve.token_weights(e, "entity", "name"))
+    c = resolve.candidates(q, e)
     return c.select("record", "entity", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -285,8 +285,7 @@ def decisions(spark, root):
     ents = table(spark, root, "entities").where("type = 'firm'").select(F.col("id").alias("entity"), "name")
     last = table(spark, root, "slices").groupBy(F.col("entity_id").alias("entity")).agg(F.max_by(F.try_element_at("attrs", F.lit("legal_form")), "as_of").alias("legal_form"))
     facts = ents.join(last, "entity", "left").select("entity", "legal_form", *[F.lit(None).cast("string").alias(c) for c in ("seat", "founded", "county", "court")])
-    w = resolve.token_weights(ents, "entity", "name")
-    c = resolve.candidates(rec.select("record", "query"), ents, w, rare=3.0)
+    c = resolve.candidates(rec.select("record", "query"), ents)
     ranked = resolve.boosted(c, rec, facts).withColumnRenamed("founded_agree", "founded_agree")
     return resolve.decide(ranked).groupBy("decision", "reason").agg(F.count("*").alias("n"))
 

@@ -18,7 +18,7 @@ def of_all_pairs(queries, names):
 
 def candidates(spark, queries, names, **more):
     q, e = spark.createDataFrame(queries, "record bigint, query string"), spark.createDataFrame(names, "entity string, name string")
-    return resolve.candidates(q, e, resolve.token_weights(e, "entity", "name"), **more)
+    return resolve.candidates(q, e, **more)
 
 
 def misread(rng, text, k):
@@ -44,3 +44,17 @@ def test_candidates_equal_all_pairs(spark):
     names += [("X", "aaaaaaabbb"), ("Y", "0123456789"), ("Z", "a")]
     got = candidates(spark, queries, names, top=10_000)
     assert {(r.record, r.entity): round(r.score, 6) for r in got.collect()} == of_all_pairs(queries, names)
+
+
+def test_decisions_meet_names_by_a_frequent_word(spark, monkeypatch):
+    from ledgerloom.plans import records
+
+    # One word stands in every name, the other is misprinted.
+    firms = [(f"F{i}", "firm", f"{w} gőzmalom") for i, w in enumerate(("Barakovics", "Csendesi", "Dombóvári", "Egerszegi", "Fehérvári"))]
+    tables = {
+        "court_entries": spark.createDataFrame([(1, "Barakovits gőzmalom", None, None, None, None, None), (2, "Dornbóvári gőzmalom", None, None, None, None, None)], "entry_id bigint, firm_text string, seat string, founded int, county string, legal_form string, court string"),
+        "entities": spark.createDataFrame(firms, "id string, type string, name string"),
+        "slices": spark.createDataFrame([], "entity_id string, as_of int, attrs map<string,string>"),
+    }
+    monkeypatch.setattr(records, "table", lambda s, root, name: tables[name])
+    assert [tuple(r) for r in records.decisions(spark, "").collect()] == [("same", "good name", 2)]
