@@ -2,7 +2,7 @@
 
 Both sides become streams of letters and digits without case, accents, markup, punctuation, blanks and the
 differences between letters that are misread for each other, so that word division and line ends vanish too.
-n-grams that are rare among the test items are seeds. Where the seeds of an item gather on neighbouring
+n-grams that are rare among the test items are seeds; of `words` words that have too few of them, all n-grams are. Where the seeds of an item gather on neighbouring
 diagonals of a document, the seeds are first extended letter by letter; what is not a plain copy is aligned by
 Smith-Waterman. A document gives an item away where the alignment covers at least `words` consecutive words of it.
 
@@ -72,6 +72,20 @@ class Items:
             for p in range(len(s) - GRAM + 1):
                 where[s[p : p + GRAM]].append((k, p))
         self.seeds = {g: at for g, at in where.items() if len({k for k, _ in at}) <= RARE}
+        for k, s in enumerate(self.stream):
+            for p in self._poor(k):
+                g = s[p : p + GRAM]
+                self.seeds[g] = [*self.seeds.get(g, ()), (k, p)]
+
+    def _poor(self, k: int) -> list[int]:
+        """Where the common grams stand of the twelve words that have too few rare ones to be found by: they are seeds of this item too."""
+        s, starts = self.stream[k], self.starts[k]
+        rare = [s[p : p + GRAM] in self.seeds and (k, p) in self.seeds[s[p : p + GRAM]] for p in range(max(0, len(s) - GRAM + 1))]
+        upto, poor = [0, *accumulate(rare)], set()
+        for a, b in zip(starts, starts[WORDS:]):
+            if b - a >= GRAM and upto[b - GRAM + 1] - upto[a] < TOGETHER:
+                poor.update(p for p in range(a, b - GRAM + 1) if not rare[p])
+        return sorted(poor)
 
     def in_text(self, text: str) -> list[int]:
         doc = fold(text)

@@ -67,3 +67,11 @@ def test_alignment():
     assert leakage.smith_waterman("abcdef", "xxabcdefyy") == [2, 3, 4, 5, 6, 7]
     assert leakage.smith_waterman("abcdefgh", "zabcXefghz") == [1, 2, 3, 4, 5, 6, 7, 8]
     assert leakage.smith_waterman("aaa", "bbb") == [-1, -1, -1]
+
+
+def test_a_passage_of_many_items_is_found():
+    rng = random.Random(13)
+    common, own = texts(rng, 1, 16)[0], texts(rng, 5, 15)
+    known = leakage.Items([(i, f"{t} {common}") for i, t in enumerate(own)])
+    assert sorted(known.in_text(" ".join([*texts(rng, 1, 10), *common.split()[2:15], *texts(rng, 1, 10)]))) == [0, 1, 2, 3, 4]
+    assert known.in_text(" ".join([*texts(rng, 1, 10), *common.split()[2:10], *texts(rng, 1, 10)])) == []
