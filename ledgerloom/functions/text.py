@@ -5,12 +5,16 @@ Nulls: unless said otherwise a null input gives null; functions that choose amon
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented Latin letters and the letters they fold to.
-ACCENTS_FROM = "áàâäãåéèêëíìîïóòôöőõúùûüűçñýÿšžčćÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖŐÕÚÙÛÜŰÇÑÝŠŽČĆ"
-ACCENTS_TO = "aaaaaaeeeeiiiioooooouuuuucnyyszccAAAAAAEEEEIIIIOOOOOOUUUUUCNYSZCC"
+#: Latin letters with marks and the letter each is without them, by Unicode's decompositions.
+_BARE = {chr(o): unicodedata.normalize("NFD", chr(o))[0] for block in ((0xC0, 0x250), (0x1E00, 0x1F00)) for o in range(*block) if unicodedata.normalize("NFD", chr(o))[0].isascii()}
+# Letters that Unicode doesn't decompose and what they are read as.
+_BARE |= {"ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "ø": "o", "Ø": "O", "ı": "i", "ħ": "h", "Ħ": "H"}
+ACCENTS_FROM, ACCENTS_TO = "".join(_BARE), "".join(_BARE.values())
 # Printed marks that repeat the cell above, and their short forms.
 DITTO_GLYPHS = r"^[„”“\"'’〃»«,.\s-]*[„”“\"〃»«][„”“\"'’〃»«,.\s-]*$"
 DITTO_WORDS = ("u.o.", "u. o.", "uo.", "uo", "ua.", "u.a.", "do.", "dto.", "dtto", "id.", "ugyanott", "ugyanaz", "detto", "ditto", "ibid.")
@@ -100,10 +104,13 @@ def hallucinated(llm: Column, ocr: Column, more: int = 2, longest: int = 4) -> C
     return F.coalesce(((line_count(llm) - line_count(ocr)) >= more) | F.exists(F.split(llm, "\n"), lambda x: F.length(F.trim(x)) > longest), F.lit(False))
 
 
-def natural_key(c: Column) -> Column:
-    """A key whose order is that of people: numbers by value, letters without case."""
+def natural_key(c: Column, width: int = 12) -> Column:
+    """A key whose order is that of people: numbers by value, letters without case. Numbers of more digits than `width` follow in the order of their length."""
     parts = F.regexp_extract_all(F.lower(c), F.lit(r"(\d+|\D+)"), 1)
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 12, "0")).otherwise(p)), "")
+    longer = lambda p: F.concat(F.lit(":"), F.lpad(F.length(p).cast("string"), 10, "0"), F.lit(":"), p)
+    bare = lambda p: F.regexp_replace(p, r"^0+(?=\d)", "")
+    number = lambda p: F.when(F.length(bare(p)) > width, longer(bare(p))).otherwise(F.lpad(bare(p), width, "0"))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), number(p)).otherwise(p)), "")
 
 
 def clean_tags(tags: Column) -> Column:
@@ -138,11 +145,10 @@ def full_text_match(text: Column, query: str) -> Column:
     return F.coalesce(F.contains(F.lower(unaccent(text)), F.lower(unaccent(F.lit(query)))), F.lit(False))
 
 
+#: A blank between two single characters of a run of three or more; doubled blanks and line breaks end a run.
+SPACED = r"(?<=(?:^|\s)\S \S) (?=\S(?:\s|$))|(?<=(?:^|\s)\S) (?=\S \S(?:\s|$))"
+
+
 def unspaced(c: Column) -> Column:
-    """Letter-spaced print closed up: runs of three or more single letters become one word."""
-    tokens = F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda t: t != "")
-    state = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast("array<string>").alias("run"))
-    flush = lambda s: F.when(F.size(s["run"]) >= 3, F.concat(s["out"], F.array(F.array_join(s["run"], "")))).otherwise(F.concat(s["out"], s["run"]))
-    single = lambda t: t.rlike(r"^\p{L}$")
-    step = lambda s, t: F.when(single(t), F.struct(s["out"].alias("out"), F.concat(s["run"], F.array(t)).alias("run"))).otherwise(F.struct(F.concat(flush(s), F.array(t)).alias("out"), F.array().cast("array<string>").alias("run")))
-    return F.array_join(F.aggregate(tokens, state, step, flush), " ")
+    """Letter-spaced print closed up: runs of three or more single characters become one word, blanks between words one."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), SPACED, ""), r"\s+", " "))

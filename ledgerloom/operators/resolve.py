@@ -17,7 +17,7 @@ BOOST_ISSUE, BOOST_KEY = 25.0, 40.0
 # The tiers of a name's score, the gap to the runner-up, and how many candidates are kept.
 SURE, GOOD, WEAK, MARGIN, FLOOR, TOP = 95.0, 85.0, 70.0, 5.0, 70.0, 8
 # Words of a court's name that tell no court from another.
-COURT_WORDS = ("kir", "kiralyi", "torvenyszek", "tszek", "valtotorvenyszek", "mint", "kereskedelmi", "birosag")
+COURT_WORDS = "kiralyi kir k es v torvenyszek torvenyszeki torvenyszel torveny torv tvszk tszek tszk birosag a az kereskedelmi valto ker kerti".split()
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -41,12 +41,17 @@ def seats_agree(a: Column, b: Column) -> Column:
 
 
 def court_key(c: Column) -> Column:
-    words = F.filter(F.split(fold(c), " "), lambda w: ~w.isin(*COURT_WORDS) & (w != ""))
+    """The words of a court's name that tell which court it is, null if there are none."""
+    words = F.filter(F.split(fold(c), " "), lambda w: ~w.isin(*COURT_WORDS) & (F.length(w) > 1))
     return F.nullif(F.array_join(words, " "), F.lit(""))
 
 
-def courts_agree(a: Column, b: Column) -> Column:
-    return court_key(a) == court_key(b)
+def courts_agree(a: Column, b: Column, tail: int = 5) -> Column:
+    """Equal, one within the other, the last word of one the end of the other's (from `tail` letters on), or spelled nearly alike."""
+    x, y = court_key(a), court_key(b)
+    u, v = (F.element_at(F.split(k, " "), -1) for k in (x, y))
+    ends = (F.least(F.length(u), F.length(v)) >= tail) & (F.endswith(u, v) | F.endswith(v, u))
+    return F.when(x.isNotNull() & y.isNotNull(), F.contains(x, y) | F.contains(y, x) | ends | (similarity(x, y) >= 85))
 
 
 def registry_agrees(court_a: Column, folio_a: Column, court_b: Column, folios_b: Column) -> Column:

@@ -56,6 +56,7 @@ def printed(c: str) -> str:
     return PRINTED.format(c=c)
 
 
+# Accented letters of the test tables and what they fold to.
 ACCENTED = "áàâäãåéèêëíìîïóòôöőõúùûüűçñýÿšžčćÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖŐÕÚÙÛÜŰÇÑÝŠŽČĆ"
 PLAIN = "aaaaaaeeeeiiiioooooouuuuucnyyszccAAAAAAEEEEIIIIOOOOOOUUUUUCNYSZCC"
 
