@@ -53,6 +53,10 @@ def p8_found(spark, root):
     return leakage.leaks(table(spark, root, "documents"), table(spark, root, "eval_items"))
 
 
+def p8_scored(spark, root):
+    return leakage.scored(table(spark, root, "documents"), table(spark, root, "eval_items"))
+
+
 def p9_found(spark, root):
     return cutoff.truncated(table(spark, root, "documents"))
 
@@ -61,5 +65,5 @@ def p9_sources(spark, root):
     return cutoff.by_source(table(spark, root, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_unmatched": p2_unmatched, "p5_found": p5_found, "p5_plain": p5_plain, "p4_found": p4_found, "p4_confidence": p4_confidence, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_sources": p9_sources}
+QUERIES = {"p2_found": p2_found, "p2_unmatched": p2_unmatched, "p5_found": p5_found, "p5_plain": p5_plain, "p4_found": p4_found, "p4_confidence": p4_confidence, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_scored": p8_scored, "p9_found": p9_found, "p9_sources": p9_sources}
 ORACLE: dict[str, str] = {}
