@@ -1,10 +1,11 @@
 """History of changing entity attributes, built from unordered yearly snapshots by Merkle comparison.
 
-A snapshot is the state of all entities at one `as_of`; what a delivery leaves unstated keeps its last value.
-Entities fall into `leaves` hash buckets, which are the leaves of a 16-ary tree. The hash of a node is the
-exclusive or of the hashes of the states below it, so the difference of a node between two snapshots is the
-exclusive or of the state changes below it. The comparison starts at the root of each snapshot, goes down
-only where the difference is not zero, and compares field by field only the rows of leaves that changed.
+A snapshot is what was delivered for one `as_of`; what a delivery leaves unstated keeps its last value. Entities fall into
+hash buckets, which are the leaves of a 16-ary tree over each snapshot. The hash of a leaf is the exclusive or of the hashes
+of what its entities state, that of an inner node the exclusive or of its children's. Each node is compared with itself in
+the snapshot it was last delivered in. The comparison starts at the roots and goes down only where hashes differ; only rows
+of leaves that differ are taken apart into fields and compared. A leaf that is equal states again what it stated last, so
+leaving it out loses no change and no last value.
 
 Edge cases, all defined: rows without entity or as_of are left out; of rows with one entity and as_of and the
 same recorded_at the one with the greater content hash counts; a null recorded_at is older than any other;
@@ -23,7 +24,8 @@ from ledgerloom.runtime import cut
 #: Edges that end the history of the firm they come from.
 ENDING = ("rename", "merger", "legal_form", "successor")
 OPEN_END = 9999
-FANOUT_BITS, LEVELS = 4, 3
+#: A node has 16 children; leaves are as many as leave about PER_LEAF entities to each.
+FANOUT_BITS, PER_LEAF = 4, 4
 #: A field that every delivery states; its first statement opens the history.
 SEEN = "\x00seen"
 BLANKS = r"[\s\p{Z}\x{200B}\x{FEFF}]+"
@@ -97,39 +99,52 @@ def _states(slices: DataFrame, canon: DataFrame) -> DataFrame:
     return last(_fold(last(base), canon, "entity_id")).select("entity_id", "as_of", "f")
 
 
-def merkle_changes(rows: DataFrame, leaf_bits: int = FANOUT_BITS * LEVELS) -> DataFrame:
-    """The rows of the (as_of, leaf) whose hash differs from the snapshot before.
+def levels_for(entities: int) -> int:
+    """Levels of the tree below its root that bring a leaf to PER_LEAF entities or fewer on average."""
+    return max(1, -(-max(1, entities // PER_LEAF).bit_length() // FANOUT_BITS))
 
-    `rows` has as_of, leaf and `delta`, the hash of what a row takes out of the state xor what it puts in. Only
-    node hashes are shuffled for the descent: at most 2^leaf_bits a snapshot, summed up before the shuffle.
+
+def leaf_of(entity: str, levels: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(entity), 64 - levels * FANOUT_BITS).cast("bigint")
+
+
+def merkle_changes(rows: DataFrame, levels: int) -> DataFrame:
+    """The (as_of, leaf) whose hash differs from that of the leaf in the snapshot it was last delivered in.
+
+    `rows` has as_of, leaf and `h`, the hash of what an entity states. Only node hashes are shuffled, summed up before it.
     """
-    level = rows.groupBy("as_of", "leaf").agg(F.bit_xor("delta").alias("d"))
-    nodes = []
-    for _ in range(leaf_bits // FANOUT_BITS):
-        nodes.append(level)
-        level = level.groupBy("as_of", F.shiftright("leaf", FANOUT_BITS).alias("leaf")).agg(F.bit_xor("d").alias("d"))
-    differing = level.where("d <> 0").select("as_of", F.col("leaf").alias("up"))
-    for below in reversed(nodes):
-        children = below.where("d <> 0").withColumn("up", F.shiftright("leaf", FANOUT_BITS))
-        differing = children.join(differing, ["as_of", "up"], "left_semi").select("as_of", F.col("leaf").alias("up"))
-    return rows.join(differing.withColumnRenamed("up", "leaf"), ["as_of", "leaf"], "left_semi")
-
-
-def versions(slices: DataFrame, edges: DataFrame, leaf_bits: int = FANOUT_BITS * LEVELS) -> DataFrame:
-    """(entity_id, valid_from, valid_to): the periods in which the attributes of an entity held."""
-    canon = cut(canonical_ids(edges))
-    states = _states(slices, canon)
-    entries = F.concat(F.transform("f", lambda e: F.struct(e["key"].alias("key"), comparable(e["value"]).alias("value"))), F.array(F.struct(F.lit(SEEN).alias("key"), F.lit("").alias("value"))))
-    fields = states.select("entity_id", "as_of", F.explode(entries).alias("e")).select("entity_id", "as_of", "e.key", "e.value")
-    was = F.lag("value").over(W.partitionBy("entity_id", "key").orderBy("as_of"))
-    put = lambda v: F.when(v.isNull(), F.lit(0).cast("bigint")).otherwise(F.xxhash64("entity_id", "key", v))
-    fields = (
-        fields.withColumn("was", was)
-        .withColumn("delta", put(F.col("was")).bitwiseXOR(put(F.col("value"))))
-        .withColumn("leaf", F.xxhash64("entity_id").bitwiseAND(F.lit((1 << leaf_bits) - 1)).cast("int"))
-    )
+    level = rows.groupBy("as_of", "leaf").agg(F.bit_xor("h").alias("h"))
+    tree = [level]
+    for _ in range(levels):
+        level = level.groupBy("as_of", F.shiftright("leaf", FANOUT_BITS).alias("leaf")).agg(F.bit_xor("h").alias("h"))
+        tree.append(level)
+    before = F.lag("h").over(W.partitionBy("leaf").orderBy("as_of"))
+    differing = None
+    for nodes in reversed(tree):
+        differs = nodes.withColumn("was", before).where(F.col("was").isNull() | (F.col("was") != F.col("h"))).select("as_of", "leaf")
+        if differing is not None:
+            up = differing.withColumnRenamed("leaf", "up")
+            differs = differs.withColumn("up", F.shiftright("leaf", FANOUT_BITS)).join(up, ["as_of", "up"], "left_semi").drop("up")
+        differing = differs
+    return differing
+
+
+def changed_fields(states: DataFrame, levels: int) -> DataFrame:
+    """(entity_id, as_of, key, value, raw, was): the fields of the rows in leaves that differ, each with what was last stated before."""
+    entries = F.transform("f", lambda e: F.struct(e["key"].alias("key"), comparable(e["value"]).alias("value"), e["value"].alias("raw")))
+    hashed = states.select("entity_id", "as_of", entries.alias("f")).withColumn("leaf", leaf_of("entity_id", levels))
+    differing = merkle_changes(hashed.select("as_of", "leaf", F.xxhash64("entity_id", F.transform("f", lambda e: F.struct(e["key"], e["value"]))).alias("h")), levels)
+    seen = F.array(F.struct(F.lit(SEEN).alias("key"), F.lit("").alias("value"), F.lit("").alias("raw")))
+    rows = hashed.join(differing, ["as_of", "leaf"], "left_semi").select("entity_id", "as_of", F.explode(F.concat("f", seen)).alias("e")).select("entity_id", "as_of", "e.*")
+    return rows.withColumn("was", F.lag("value").over(W.partitionBy("entity_id", "key").orderBy("as_of")))
+
+
+def _begun(fields: DataFrame) -> DataFrame:
     opens = (F.col("key") == SEEN) & F.col("was").isNull()
-    begins = merkle_changes(fields, leaf_bits).where(opens | (F.col("was") != F.col("value"))).select("entity_id", F.col("as_of").alias("valid_from")).distinct()
+    return fields.where(opens | (F.col("was") != F.col("value"))).select("entity_id", F.col("as_of").alias("valid_from")).distinct()
+
+
+def _ended(begins: DataFrame, edges: DataFrame, canon: DataFrame) -> DataFrame:
     ends = (
         _fold(edges.where(F.col("type").isin(*ENDING) & F.col("as_of").isNotNull()).select(F.col("from_id").alias("entity_id"), "as_of"), canon, "entity_id")
         .groupBy("entity_id")
@@ -139,3 +154,35 @@ def versions(slices: DataFrame, edges: DataFrame, leaf_bits: int = FANOUT_BITS *
     out = begins.withColumn("nxt", following).join(ends, "entity_id", "left")
     end = F.try_element_at(F.filter("ends", lambda y: y >= F.col("valid_from")), F.lit(1))
     return out.select("entity_id", F.col("valid_from").cast("int"), F.coalesce("nxt", end, F.lit(OPEN_END)).cast("int").alias("valid_to"))
+
+
+def _snapshots(slices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    canon = cut(canonical_ids(edges))
+    # Written once: the tree and the rows of its differing leaves both come from it.
+    states = cut(_states(slices, canon))
+    return canon, states, levels_for(states.agg(F.approx_count_distinct("entity_id")).first()[0])
+
+
+def versions(slices: DataFrame, edges: DataFrame, levels: int | None = None) -> DataFrame:
+    """(entity_id, valid_from, valid_to): the periods in which the attributes of an entity held."""
+    canon, states, least = _snapshots(slices, edges)
+    return _ended(_begun(changed_fields(states, levels or least)), edges, canon)
+
+
+def history(slices: DataFrame, edges: DataFrame, levels: int | None = None) -> DataFrame:
+    """(entity_id, valid_from, valid_to, name, parent, attrs): `versions` with what was last stated of each field by the end of the version."""
+    canon, states, least = _snapshots(slices, edges)
+    fields = cut(changed_fields(states, levels or least))
+    spans = cut(_ended(_begun(fields), edges, canon))
+    # Every statement belongs to the last version that had begun; an ordered union carries the version's beginning to it.
+    at = spans.select("entity_id", F.col("valid_from").alias("as_of"), "valid_from", F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("raw"))
+    said = fields.where(F.col("key") != SEEN).select("entity_id", "as_of", F.lit(None).cast("int").alias("valid_from"), "key", "raw")
+    order = W.partitionBy("entity_id").orderBy("as_of", F.col("valid_from").isNull())
+    filled = at.unionByName(said).withColumn("valid_from", F.last("valid_from", True).over(order)).where("key is not null")
+    last = filled.groupBy("entity_id", "valid_from", "key").agg(F.max_by("raw", "as_of").alias("raw")).groupBy("entity_id", "valid_from").agg(F.map_from_entries(F.collect_list(F.struct("key", "raw"))).alias("m"))
+    none = F.create_map().cast("map<string,string>")
+    upto = spans.join(last, ["entity_id", "valid_from"], "left").withColumn("ms", F.collect_list(F.coalesce("m", none)).over(W.partitionBy("entity_id").orderBy("valid_from")))
+    merged = F.aggregate("ms", none, lambda s, m: F.map_concat(F.map_filter(s, lambda k, _: ~F.map_contains_key(m, k)), m))
+    out = upto.select("entity_id", "valid_from", "valid_to", merged.alias("m"))
+    attrs = F.map_filter("m", lambda k, _: ~k.isin("\x00name", "\x00parent"))
+    return out.select("entity_id", "valid_from", "valid_to", F.try_element_at("m", F.lit("\x00name")).alias("name"), F.try_element_at("m", F.lit("\x00parent")).alias("parent"), attrs.alias("attrs"))

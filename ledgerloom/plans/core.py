@@ -12,6 +12,13 @@ def p1_found(spark, root):
     return history.versions(table(spark, root, "slices"), table(spark, root, "edges"))
 
 
+def p1_history(spark, root):
+    """The versions with their content; attrs as one text of sorted entries."""
+    h = history.history(table(spark, root, "slices"), table(spark, root, "edges"))
+    entries = F.transform(F.array_sort(F.map_entries("attrs")), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return h.select("entity_id", "valid_from", "valid_to", "name", "parent", F.array_join(entries, "|").alias("attrs"))
+
+
 def p3_found(spark, root):
     return nested.flat_parts(table(spark, root, "page_docs"))
 
@@ -51,4 +58,4 @@ P3_SQL = """WITH v AS (SELECT save_id, project, stem, saved_at, doc::JSON AS d F
   UNION ALL SELECT save_id, i, 'other_name', CAST(k AS VARCHAR), group_id, label FROM nm WHERE json_type(x) <> 'NULL')"""
 
 ORACLE = {"p1_found": P1_SQL, "p3_found": P3_SQL}
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_variants": p3_variants}
+QUERIES = {"p1_found": p1_found, "p1_history": p1_history, "p3_found": p3_found, "p3_variants": p3_variants}

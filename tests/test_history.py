@@ -48,6 +48,38 @@ def test_chains_and_circles(spark, rows):
 
 def test_empty(spark):
     assert history.versions(slices(spark, []), edges(spark, [])).count() == 0
+    assert history.history(slices(spark, []), edges(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("levels", [1, 3])
+def test_only_leaves_that_differ_are_compared(spark, rows, levels):
+    """Two of three leaves of the second snapshot say the same as in the snapshot they were last delivered in."""
+    data = [(1, 5, 11), (1, 5, 12), (1, 9, 13), (1, 200, 14), (2, 5, 11), (2, 5, 12), (2, 9, 99), (3, 200, 14), (4, 200, 15), (4, 9, 99)]
+    d = spark.createDataFrame(data, "as_of int, leaf bigint, h bigint")
+    assert rows(history.merkle_changes(d, levels)) == [(1, 200), (1, 5), (1, 9), (2, 9), (4, 200)]
+
+
+def test_the_rows_come_through_the_tree(spark, rows, monkeypatch):
+    s = slices(spark, [(e, y, "P", "N" if y < 1875 else "M", {}, 1) for e in "ABCDEFGH" for y in (1870, 1872, 1875)])
+    full = rows(history.versions(s, edges(spark, [])))
+    assert len(full) == 16
+    whole = history.merkle_changes
+    monkeypatch.setattr(history, "merkle_changes", lambda r, levels: whole(r, levels).where("as_of < 1875"))
+    assert rows(history.versions(s, edges(spark, []))) == [(e, 1870, 9999) for e in "ABCDEFGH"]
+
+
+def test_equal_leaves_are_not_taken_apart(spark):
+    s = slices(spark, [(f"E{i}", y, "P", "N", {}, 1) for i in range(50) for y in range(1870, 1880)])
+    canon, states, levels = history._snapshots(s, edges(spark, []))
+    assert history.changed_fields(states, levels).where("as_of > 1870").count() == 0
+
+
+def test_content_of_versions(spark, rows):
+    s = slices(spark, [("A", 1870, "P", "Firm", {"capital": "1000"}, 1), ("A", 1872, None, "FIRM", {"status": "active"}, 2), ("A", 1874, None, None, {"capital": "2000"}, 3), ("B", 1880, None, None, None, 1)])
+    got = history.history(s, edges(spark, [("A", "B", "merger", 1880)])).collect()
+    assert sorted((r.entity_id, r.valid_from, r.valid_to, r.name, r.parent, tuple(sorted(r.attrs.items()))) for r in got) == [
+        ("A", 1870, 1874, "FIRM", "P", (("capital", "1000"), ("status", "active"))), ("A", 1874, 1880, "FIRM", "P", (("capital", "2000"), ("status", "active"))), ("B", 1880, 9999, None, None, ()),
+    ]
 
 
 def test_against_a_loop(spark, rows):
@@ -67,4 +99,5 @@ def test_against_a_loop(spark, rows):
                 begins.append(y)
             cur |= f
         want += [(e, a, b) for a, b in zip(begins, [*begins[1:], 9999])]
-    assert rows(history.versions(slices(spark, data), edges(spark, []))) == sorted(want, key=str)
+    for levels in (None, 1, 2):
+        assert rows(history.versions(slices(spark, data), edges(spark, []), levels)) == sorted(want, key=str)
