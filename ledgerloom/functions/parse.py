@@ -42,6 +42,11 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(printed(c), F.lit(TOKEN), 0)
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` of a value that is worked out once, however often `then` names it."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def _first(toks: Column, says: Callable[[Callable[[int], Column], Column], Column]) -> Column:
     """What `says` makes of the first place where it isn't null; it is given the tokens from that place on by their distance."""
     places = F.transform(toks, lambda _, i: says(lambda k: F.get(toks, i + k)))
@@ -80,7 +85,6 @@ def _dated(year: Column, mon: Column, day: Column) -> Column:
 
 def partial_date(c: Column) -> Column:
     """A date as far as it is printed: YYYY, YYYY-MM or YYYY-MM-DD; null without a year."""
-    toks = tokens(c)
 
     def iso(at) -> Column:
         part = F.split(at(0), "-")
@@ -94,7 +98,10 @@ def partial_date(c: Column) -> Column:
         name, behind, later = F.when(skip, at(2)).otherwise(at(1)), F.when(skip, at(3)).otherwise(at(2)), F.when(skip, at(4)).otherwise(at(3))
         return F.when(_is_year(at(0)) & word(name), _dated(at(0), month(name), _number(F.when(behind == "ho", later).otherwise(behind), 2)))
 
-    return F.coalesce(_first(toks, iso), _first(toks, worded), _first(toks, lambda at: F.when(_is_year(F.left(at(0), F.lit(4))) & at(0).rlike(r"^\d{4}(-|$)"), F.left(at(0), F.lit(4)))))
+    def bare(at) -> Column:
+        return F.when(_is_year(F.left(at(0), F.lit(4))) & at(0).rlike(r"^\d{4}(-|$)"), F.left(at(0), F.lit(4)))
+
+    return _let(tokens(c), lambda toks: F.coalesce(_first(toks, iso), _first(toks, worded), _first(toks, bare)))
 
 
 def date_precision(c: Column) -> Column:
@@ -130,28 +137,37 @@ def issue_reference(c: Column) -> Column:
 
     What stands before that word and behind the bracket that closes is no citation.
     """
-    toks = tokens(c)
-    see = F.array_min(F.filter(F.transform(toks, lambda t, i: F.when(F.contains(t, F.lit("lasd")), i + 2).when(F.array_join(F.slice(toks, i + 1, F.lit(4)), "_") == "l_a_s_d", i + 5)), lambda x: x.isNotNull()))
-    rest = F.slice(toks, see, F.size(toks))
-    closed = F.array_position(rest, ")")
-    seg = F.when(closed > 1, F.slice(rest, F.lit(1), closed.cast("int") - 1)).otherwise(rest)
-    volume = _first(seg, lambda at: F.when(at(0).rlike("^[ivxl]{1,5}$") & F.startswith(at(1), F.lit("evf")), at(0)))
-    year = _first(seg, lambda at: F.when(_is_year(at(0)) & at(1).rlike("^ev[if]"), at(0).cast("int")))
-    behind = lambda at: F.when(at(1) == "ik", at(2)).otherwise(at(1))
-    issue = F.coalesce(
-        _first(seg, lambda at: F.when(F.startswith(behind(at), F.lit("szam")) | (behind(at) == "sz"), _number(at(0), 3))),
-        _first(seg, lambda at: F.when(at(0) == "evf", _number(at(1), 3))),
-    )
-    before = issue.isNull() & F.exists(seg, lambda t: t.isin(*BEFORE))
-    gazette = F.exists(seg, lambda t: F.startswith(t, F.lit("kozpert"))) | _first(seg, lambda at: F.when((at(0) == "kozp") & F.startswith(at(1), F.lit("ert")), F.lit(True))).isNotNull()
-    out = F.struct(issue.alias("issue"), F.upper(volume).alias("volume"), roman(volume).alias("volume_no"), year.alias("year"), before.alias("previous"), gazette.alias("gazette"))
-    return F.when(see.isNotNull() & (issue.isNotNull() | before), out)
+
+    def cited(toks: Column) -> Column:
+        """The tokens behind the word 'lásd', which may be spaced in any way, up to the bracket that closes; null without that word."""
+        parts = lambda i: F.coalesce(*[F.when(F.array_join(F.slice(toks, i + 1, F.lit(n)), "") == "lasd", i + n + 1) for n in (2, 3, 4)])
+        see = F.array_min(F.filter(F.transform(toks, lambda t, i: F.when(F.contains(t, F.lit("lasd")), i + 2).otherwise(parts(i))), lambda x: x.isNotNull()))
+        upto = lambda rest: F.when(F.array_position(rest, ")") > 1, F.slice(rest, F.lit(1), F.array_position(rest, ")").cast("int") - 1)).otherwise(rest)
+        return _let(F.slice(toks, see, F.size(toks)), upto)
+
+    def issue_of(seg: Column) -> Column:
+        behind = lambda at: F.when(at(1) == "ik", at(2)).otherwise(at(1))
+        return F.coalesce(
+            _first(seg, lambda at: F.when(F.startswith(behind(at), F.lit("szam")) | (behind(at) == "sz"), _number(at(0), 3))),
+            _first(seg, lambda at: F.when(at(0) == "evf", _number(at(1), 3))),
+        )
+
+    def said(seg: Column, issue: Column, volume: Column) -> Column:
+        year = _first(seg, lambda at: F.when(_is_year(at(0)) & at(1).rlike("^ev[if]"), at(0).cast("int")))
+        before = issue.isNull() & F.exists(seg, lambda t: t.isin(*BEFORE))
+        gazette = F.exists(seg, lambda t: F.startswith(t, F.lit("kozpert"))) | _first(seg, lambda at: F.when((at(0) == "kozp") & F.startswith(at(1), F.lit("ert")), F.lit(True))).isNotNull()
+        out = F.struct(issue.alias("issue"), F.upper(volume).alias("volume"), roman(volume).alias("volume_no"), year.alias("year"), before.alias("previous"), gazette.alias("gazette"))
+        return F.when(seg.isNotNull() & (issue.isNotNull() | before), out)
+
+    volume_of = lambda seg: _first(seg, lambda at: F.when(at(0).rlike("^[ivxl]{1,5}$") & F.startswith(at(1), F.lit("evf")), at(0)))
+    whole = lambda seg: _let(F.struct(issue_of(seg).alias("issue"), volume_of(seg).alias("volume")), lambda x: said(seg, x["issue"], x["volume"]))
+    return _let(tokens(c), lambda toks: _let(cited(toks), whole))
 
 
 def issue_number(c: Column) -> Column:
     """The number an issue's masthead prints: one of at most three digits before the word 'szám', however that is spaced."""
-    toks = F.filter(tokens(c), lambda t: t != ",")
-    return F.transform(F.array(toks), lambda ts: _first(ts, lambda at: F.when(F.startswith(F.concat_ws("", at(1), at(2), at(3), at(4)), F.lit("szam")), _number(at(0), 3))))[0]
+    before = lambda at: F.when(F.startswith(F.concat_ws("", at(1), at(2), at(3), at(4)), F.lit("szam")), _number(at(0), 3))
+    return _let(F.filter(tokens(c), lambda t: t != ","), lambda toks: _first(toks, before))
 
 
 #: Parsers a declaration may name. More are added by name.

@@ -130,12 +130,11 @@ def merkle_changes(rows: DataFrame, levels: int) -> DataFrame:
 
 
 def changed_fields(states: DataFrame, levels: int) -> DataFrame:
-    """(entity_id, as_of, key, value, raw, was): the fields of the rows in leaves that differ, each with what was last stated before."""
-    entries = F.transform("f", lambda e: F.struct(e["key"].alias("key"), comparable(e["value"]).alias("value"), e["value"].alias("raw")))
-    hashed = states.select("entity_id", "as_of", entries.alias("f")).withColumn("leaf", leaf_of("entity_id", levels))
-    differing = merkle_changes(hashed.select("as_of", "leaf", F.xxhash64("entity_id", F.transform("f", lambda e: F.struct(e["key"], e["value"]))).alias("h")), levels)
-    seen = F.array(F.struct(F.lit(SEEN).alias("key"), F.lit("").alias("value"), F.lit("").alias("raw")))
-    rows = hashed.join(differing, ["as_of", "leaf"], "left_semi").select("entity_id", "as_of", F.explode(F.concat("f", seen)).alias("e")).select("entity_id", "as_of", "e.*")
+    """(entity_id, as_of, key, value, was, ...): the fields of the rows in leaves that differ, each with what was last stated before."""
+    placed = states.withColumn("leaf", leaf_of("entity_id", levels))
+    differing = merkle_changes(placed.select("as_of", "leaf", "h"), levels)
+    seen = F.array(F.struct(F.lit(SEEN).alias("key"), *[F.lit("").alias(c) for c in states.schema["f"].dataType.elementType.names[1:]]))
+    rows = placed.join(differing, ["as_of", "leaf"], "left_semi").select("entity_id", "as_of", F.explode(F.concat("f", seen)).alias("e")).select("entity_id", "as_of", "e.*")
     return rows.withColumn("was", F.lag("value").over(W.partitionBy("entity_id", "key").orderBy("as_of")))
 
 
@@ -156,10 +155,14 @@ def _ended(begins: DataFrame, edges: DataFrame, canon: DataFrame) -> DataFrame:
     return out.select("entity_id", F.col("valid_from").cast("int"), F.coalesce("nxt", end, F.lit(OPEN_END)).cast("int").alias("valid_to"))
 
 
-def _snapshots(slices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+def _snapshots(slices: DataFrame, edges: DataFrame, raw: bool = False) -> tuple[DataFrame, DataFrame, int]:
+    """(canonical ids, (entity_id, as_of, f, h) of every delivery that counts, levels of the tree): f has the stated fields in comparable form, `raw` as stated too."""
     canon = cut(canonical_ids(edges))
+    entries = F.transform("f", lambda e: F.struct(e["key"].alias("key"), comparable(e["value"]).alias("value"), *([e["value"].alias("raw")] if raw else [])))
+    states = _states(slices, canon).select("entity_id", "as_of", entries.alias("f"))
+    content = F.transform("f", lambda e: F.struct(e["key"], e["value"])) if raw else F.col("f")
     # Written once: the tree and the rows of its differing leaves both come from it.
-    states = cut(_states(slices, canon))
+    states = cut(states.withColumn("h", F.xxhash64("entity_id", content)))
     return canon, states, levels_for(states.agg(F.approx_count_distinct("entity_id")).first()[0])
 
 
@@ -171,7 +174,7 @@ def versions(slices: DataFrame, edges: DataFrame, levels: int | None = None) ->
 
 def history(slices: DataFrame, edges: DataFrame, levels: int | None = None) -> DataFrame:
     """(entity_id, valid_from, valid_to, name, parent, attrs): `versions` with what was last stated of each field by the end of the version."""
-    canon, states, least = _snapshots(slices, edges)
+    canon, states, least = _snapshots(slices, edges, raw=True)
     fields = cut(changed_fields(states, levels or least))
     spans = cut(_ended(_begun(fields), edges, canon))
     # Every statement belongs to the last version that had begun; an ordered union carries the version's beginning to it.

@@ -253,8 +253,7 @@ def review_queue(spark, root):
 
 NAMES_SQL = f"""ent AS (SELECT id AS entity, name FROM entities WHERE type <> 'firm' UNION ALL SELECT entity_id, name FROM aliases), rec AS (SELECT record_id AS record, seat AS q FROM identities WHERE seat IS NOT NULL),
  q AS (SELECT DISTINCT record, {folded('q')} AS q FROM rec WHERE {folded('q')} <> ''), e AS (SELECT DISTINCT entity, {folded('name')} AS e FROM ent WHERE {folded('name')} <> ''),
- qt AS (SELECT DISTINCT q, unnest(string_split(q, ' ')) AS t FROM (SELECT DISTINCT q FROM q)), et AS (SELECT DISTINCT e, unnest(string_split(e, ' ')) AS t FROM (SELECT DISTINCT e FROM e)),
- p AS (SELECT DISTINCT q, e FROM qt JOIN et USING (t)), s AS (SELECT q, e, 100.0 * (1 - levenshtein(q, e) / greatest(length(q), length(e))) AS score FROM p), m AS (SELECT record, entity, max(score) AS score FROM q JOIN s USING (q) JOIN e USING (e) WHERE score >= 70 GROUP BY 1, 2)"""
+ p AS (SELECT DISTINCT q.q, e.e FROM (SELECT DISTINCT q FROM q) q, (SELECT DISTINCT e FROM e) e), s AS (SELECT q, e, 100.0 * (1 - levenshtein(q, e) / greatest(length(q), length(e))) AS score FROM p), m AS (SELECT record, entity, max(score) AS score FROM q JOIN s USING (q) JOIN e USING (e) WHERE score >= 70 GROUP BY 1, 2)"""
 
 
 def _queries(spark, root):

@@ -48,7 +48,7 @@ def test_citations(spark):
     assert not every(spark, said, [
         ("(Lásd az eredeti be- jegyzést, 14. szám.)", "14"), ("Lásd a II. évf. 34. számát", "34 II 2"), ("(Lásd 1924. évf. 8.)", "8 1924"), ("(Lásd az eredeti be- jegyzést »Közp. Ért.« 97. sz.)", "97 gazette"), ("(Lásd az előbbi be- jegyzést.)", "previous"),
         ("A kir. törvényszéknek 1876 évi november 17-én 14333 számú végzése alapján", ""), ("töröltetett 1876. évi 14333. számú végzés. (Lásd »Közp. Ért.« 5. sz.)", "5 gazette"), ("Ezen czég töröltetett.", ""),
-        ("( L á s d  a z I.  évfolyam  e r e d e t i  bejegyzését 14. szám)", "14 I 1"), ("Lásd ott) 3. szám", ""), ("Lásd 14 ik szám", "14"), ("", ""), (None, ""), ("L á s d 2. szám", "2"),
+        ("( L á s d  a z I.  évfolyam  e r e d e t i  bejegyzését 14. szám)", "14 I 1"), ("Lásd ott) 3. szám", ""), ("Lásd 14 ik szám", "14"), ("", ""), (None, ""), ("L á s d 2. szám", "2"), ("(L á s d az előbbi bejegyzést.)", "previous"),
     ])
 
 
