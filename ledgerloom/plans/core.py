@@ -23,8 +23,27 @@ def p3_found(spark, root):
     return nested.flat_parts(table(spark, root, "page_docs"))
 
 
+def _p3_table(kind: str, *columns: str):
+    def run(spark, root):
+        return nested.subtype(nested.shred(table(spark, root, "page_docs"), content=True), kind).select("save_id", "shape_idx", *columns)
+
+    return run
+
+
+p3_boxes = _p3_table("shape", "project", "stem", "variant", "group_id", "label", "human")
+p3_points = _p3_table("point", "item_path", "variant", "x", "y")
+p3_rows = _p3_table("row", "item_path", "variant", "y0", "y1", "text", "entity")
+p3_candidates = _p3_table("candidate", "item_path", "parent_path", "variant", "score", "entity")
+p3_names = _p3_table("other_name", "item_path", "variant", "name", "lang")
+
+
 def p3_variants(spark, root):
-    return nested.shred(table(spark, root, "page_docs")).groupBy("kind", "variant").agg(F.count("*").alias("n"))
+    """Every subtype table the documents hold, by kind and structural variant, with its rows."""
+    tables = nested.subtype_tables(table(spark, root, "page_docs"))
+    out = spark.createDataFrame([], "kind string, variant string, n bigint")
+    for (kind, variant), t in tables.items():
+        out = out.unionByName(t.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), F.lit(variant).alias("variant"), "n"))
+    return out
 
 
 BARE = "lower(regexp_replace(v, '[\\s\\x{00A0}\\x{2009}\\x{202F}]+', '', 'g'))"
@@ -41,7 +60,7 @@ P1_SQL = f"""WITH RECURSIVE d AS (SELECT from_id AS id, arg_max(to_id, ts) AS nx
  SELECT e AS entity_id, as_of AS valid_from, coalesce(lead(as_of) OVER (PARTITION BY e ORDER BY as_of), (SELECT min(y) FROM x WHERE x.e = g.e AND y >= g.as_of), 9999)::INTEGER AS valid_to FROM g"""
 
 #: The parts of pages by DuckDB's JSON functions, for the forms the test tables have.
-P3_SQL = """WITH v AS (SELECT save_id, project, stem, saved_at, doc::JSON AS d FROM (SELECT * FROM page_docs WHERE json_valid(doc)) QUALIFY row_number() OVER (PARTITION BY project, stem ORDER BY saved_at DESC, save_id DESC) = 1),
+P3_WITH = """WITH v AS (SELECT save_id, project, stem, saved_at, doc::JSON AS d FROM (SELECT * FROM page_docs WHERE json_valid(doc)) QUALIFY row_number() OVER (PARTITION BY project, stem ORDER BY saved_at DESC, save_id DESC) = 1),
  o AS (SELECT save_id, CASE WHEN json_type(d) = 'ARRAY' THEN d->0 ELSE d END AS d FROM v), p AS (SELECT save_id, CASE WHEN json_type(d, '$.page') = 'OBJECT' THEN d->'page' ELSE d END AS d FROM o),
  l AS (SELECT save_id, from_json(d->'shapes', '["JSON"]') AS l FROM p WHERE json_type(d, '$.shapes') = 'ARRAY'), s AS (SELECT save_id, unnest(l) AS s, generate_subscripts(l, 1) - 1 AS i FROM l),
  b AS (SELECT save_id, i, s, coalesce(CASE WHEN TRY_CAST(s->>'group_id' AS DOUBLE) = floor(TRY_CAST(s->>'group_id' AS DOUBLE)) THEN TRY_CAST(TRY_CAST(s->>'group_id' AS DOUBLE) AS BIGINT) END, -1) AS group_id, coalesce(s->>'label', '') AS label,
@@ -51,11 +70,25 @@ P3_SQL = """WITH v AS (SELECT save_id, project, stem, saved_at, doc::JSON AS d F
  rl AS (SELECT *, from_json(CASE json_type(rs) WHEN 'OBJECT' THEN rs->'rows' ELSE rs END, '["JSON"]') AS l FROM b WHERE json_type(CASE json_type(rs) WHEN 'OBJECT' THEN rs->'rows' ELSE rs END) = 'ARRAY'),
  rw AS (SELECT *, unnest(l) AS r, generate_subscripts(l, 1) - 1 AS k FROM rl),
  cl AS (SELECT *, from_json(r->'authority'->'candidates', '["JSON"]') AS cs FROM rw WHERE json_type(r, '$.authority.candidates') = 'ARRAY'), cd AS (SELECT *, unnest(cs) AS c, generate_subscripts(cs, 1) - 1 AS j FROM cl),
- nl AS (SELECT *, CASE json_type(n) WHEN 'ARRAY' THEN from_json(n, '["JSON"]') ELSE [n] END AS l FROM b WHERE json_type(n) IN ('ARRAY', 'OBJECT', 'VARCHAR')), nm AS (SELECT *, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS k FROM nl)
- SELECT save_id, CAST(i AS INTEGER) AS shape_idx, kind, item_path, group_id, label FROM (
+ nl AS (SELECT *, CASE json_type(n) WHEN 'ARRAY' THEN from_json(n, '["JSON"]') ELSE [n] END AS l FROM b WHERE json_type(n) IN ('ARRAY', 'OBJECT', 'VARCHAR')), nm AS (SELECT *, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS k FROM nl)"""
+P3_SQL = P3_WITH + """ SELECT save_id, CAST(i AS INTEGER) AS shape_idx, kind, item_path, group_id, label FROM (
   SELECT save_id, i, 'shape' AS kind, '' AS item_path, group_id, label FROM b UNION ALL SELECT save_id, i, 'point', CAST(unnest(range(c)) AS VARCHAR), group_id, label FROM pc
   UNION ALL SELECT save_id, i, 'row', CAST(k AS VARCHAR), group_id, label FROM rw WHERE json_type(r) <> 'NULL' UNION ALL SELECT save_id, i, 'candidate', k || '.' || j, group_id, label FROM cd WHERE json_type(c) <> 'NULL'
   UNION ALL SELECT save_id, i, 'other_name', CAST(k AS VARCHAR), group_id, label FROM nm WHERE json_type(x) <> 'NULL')"""
+def _number(c: str) -> str:
+    return f"TRY_CAST(replace(trim({c}), ',', '.') AS DOUBLE)"
+
+
+FLAT = "json_type(l[1]) NOT IN ('ARRAY', 'OBJECT')"
+P3_BOXES = P3_WITH + f""" SELECT save_id, CAST(i AS INTEGER) AS shape_idx, project, stem, CASE json_type(s, '$.points') WHEN 'ARRAY' THEN CASE WHEN len(l) = 0 THEN 'empty_list' WHEN {FLAT} AND len(l) = 2 THEN 'pair' WHEN {FLAT} THEN 'flat_numbers' ELSE 'points' END ELSE 'null' END AS variant,
+  group_id, label, s->'human_output'->>'human_corrected_text' AS human FROM (SELECT *, from_json(CASE json_type(s, '$.points') WHEN 'ARRAY' THEN s->'points' ELSE '[]'::JSON END, '["JSON"]') AS l FROM b) JOIN (SELECT save_id, project, stem FROM v) USING (save_id)"""
+P3_POINTS = P3_WITH + f""" , pe AS (SELECT *, unnest(range(c)) AS k FROM pc), xy AS (SELECT *, CASE json_type(l[1]) WHEN 'ARRAY' THEN l[k + 1]->>0 WHEN 'OBJECT' THEN l[k + 1]->>'x' ELSE l[2 * k + 1]->>'$' END AS x0, CASE json_type(l[1]) WHEN 'ARRAY' THEN l[k + 1]->>1 WHEN 'OBJECT' THEN l[k + 1]->>'y' ELSE l[2 * k + 2]->>'$' END AS y0 FROM pe)
+ SELECT save_id, CAST(i AS INTEGER) AS shape_idx, CAST(k AS VARCHAR) AS item_path, CASE json_type(l[1]) WHEN 'ARRAY' THEN 'pair' WHEN 'OBJECT' THEN 'corner' ELSE CASE len(l) WHEN 2 THEN 'pair_alone' ELSE 'flat' END END AS variant, {_number('x0')} AS x, {_number('y0')} AS y FROM xy"""
+P3_ROWS = P3_WITH + f""" SELECT save_id, CAST(i AS INTEGER) AS shape_idx, CAST(k AS VARCHAR) AS item_path, CASE json_type(rs) WHEN 'OBJECT' THEN 'in_object' ELSE 'bare_list' END AS variant, {_number("r->>'y0'")} AS y0, {_number("r->>'y1'")} AS y1,
+  coalesce(CASE WHEN trim(r->>'human') <> '' THEN r->>'human' END, CASE WHEN trim(r->>'llm') <> '' THEN r->>'llm' END, CASE WHEN trim(r->>'ocr') <> '' THEN r->>'ocr' END) AS text, r->'authority'->>'id' AS entity FROM rw WHERE json_type(r) <> 'NULL'"""
+P3_CANDIDATES = P3_WITH + f""" SELECT save_id, CAST(i AS INTEGER) AS shape_idx, k || '.' || j AS item_path, CAST(k AS VARCHAR) AS parent_path, CASE WHEN {_number("c->>'score'")} IS NOT NULL THEN 'candidate_scored' ELSE 'candidate' END AS variant, {_number("c->>'score'")} AS score, c->>'id' AS entity FROM cd WHERE json_type(c) <> 'NULL'"""
+P3_NAMES = P3_WITH + """ SELECT save_id, CAST(i AS INTEGER) AS shape_idx, CAST(k AS VARCHAR) AS item_path, CASE json_type(x) WHEN 'OBJECT' THEN CASE WHEN json_exists(x, '$.lang') THEN 'name_with_language' ELSE 'name' END ELSE 'word' END AS variant,
+  CASE json_type(x) WHEN 'OBJECT' THEN x->>'name' ELSE x->>'$' END AS name, CASE json_type(x) WHEN 'OBJECT' THEN x->>'lang' END AS lang FROM nm WHERE json_type(x) <> 'NULL'"""
 
-ORACLE = {"p1_found": P1_SQL, "p3_found": P3_SQL}
-QUERIES = {"p1_found": p1_found, "p1_history": p1_history, "p3_found": p3_found, "p3_variants": p3_variants}
+ORACLE = {"p1_found": P1_SQL, "p3_found": P3_SQL, "p3_boxes": P3_BOXES, "p3_points": P3_POINTS, "p3_rows": P3_ROWS, "p3_candidates": P3_CANDIDATES, "p3_names": P3_NAMES}
+QUERIES = {"p1_found": p1_found, "p1_history": p1_history, "p3_found": p3_found, "p3_variants": p3_variants, "p3_boxes": p3_boxes, "p3_points": p3_points, "p3_rows": p3_rows, "p3_candidates": p3_candidates, "p3_names": p3_names}
