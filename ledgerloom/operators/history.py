@@ -25,17 +25,12 @@ from ledgerloom.runtime import cut
 ENDING = ("rename", "merger", "legal_form", "successor")
 OPEN_END = 9999
 #: A node has 16 children; leaves are as many as leave about PER_LEAF entities to each.
-FANOUT_BITS, PER_LEAF = 4, 4
+FANOUT_BITS, PER_LEAF = 4, 32
 #: A field that every delivery states; its first statement opens the history.
 SEEN = "\x00seen"
 BLANKS = r"[\s\p{Z}\x{200B}\x{FEFF}]+"
 
 
-def stated(value: Column) -> Column:
-    """The value, or null where it is only blanks."""
-    return F.when(F.regexp_replace(value, BLANKS, "") != "", value)
-
-
 def comparable(value: Column) -> Column:
     """One form for values that differ in case, blanks or the way a number is written."""
     bare = F.lower(F.regexp_replace(value, BLANKS, ""))
@@ -85,7 +80,7 @@ def _states(slices: DataFrame, canon: DataFrame) -> DataFrame:
         F.map_concat(
             F.create_map(F.lit("\x00name"), F.col("name"), F.lit("\x00parent"), F.col("parent")), attrs
         ),
-        lambda k, v: F.regexp_replace(v, BLANKS, "") != "",
+        lambda k, v: v.rlike(r"[^\s\p{Z}\x{200B}\x{FEFF}]"),
     )
     base = slices.where(F.col("entity_id").isNotNull() & F.col("as_of").isNotNull()).select("entity_id", "as_of", "recorded_at", fields.alias("f"))
     # The order of the entries of a map says nothing; sorted, equal deliveries are equal bytes.
