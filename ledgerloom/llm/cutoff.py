@@ -3,8 +3,9 @@
 A stack automaton reads each text once and keeps what is open: brackets, quotes, markup. With the way the text
 ends (broken multibyte sequence or escape, cut mark, terminator, a line that needs none such as a table row or
 a signature) this gives the evidence of a cut. What single texts leave open is decided by the baseline of their
-source, taken over all documents: lengths at which a source's unfinished texts gather are its field limits, and an
-opener still open tells a cut where it is no farther from the end than what the source closes is long.
+source, taken over all documents: lengths at which a source's unfinished texts gather are its field limits, a missing terminator tells
+a cut where the source as a rule sets one, and an opener still open tells a cut where it is no farther from the end than what
+the source closes is long.
 
 Edge cases, all defined: null, empty and blank texts are not cut; a null source is a source of its own; repeated
 rows give one row; very long texts are read in one pass; extra columns are ignored.
@@ -31,8 +32,12 @@ TOKENS = re.compile(r"[()\[\]{}„”“«»\"]|</?[A-Za-z][^<>]*>|\*\*|`+")
 PAGE = re.compile(r"^\W*\d{1,5}\W*$|^(\d+\. (lap|oldal)|S\. \d+|p\. \d+|(Seite|page|oldal|lap) \d+)\.?$", re.I)
 SIGNED = re.compile(r"^(Dr\.?|ifj\.|id\.|özv\.|gez\.|Signed:?) ?([A-ZÁÉÍÓÖŐÚÜŰ]\w*\.? ?){1,4}$|, (közjegyző|jegyző|elnök|titkár|bíró|igazgató|Notar|Richter|Präsident|notary|clerk|secretary)\.?$|bíróság$|^(s\. k\.|m\. p\.)$")
 DATED = re.compile(r"^\S[^.,]{0,40}, (am |den |on )?(\d{4}\. (évi )?\w+ \d{1,2}\.?(-án|-én)?|\d{1,2}\. \w+ \d{4}|\w+ \d{1,2}, \d{4})\.?$")
-HEADING = re.compile(r"^(#+ .*|={2,}.*|[^a-záéíóöőúüű]*[A-ZÁÉÍÓÖŐÚÜŰ][^a-záéíóöőúüű]*)$")
+HEADING = re.compile(r"^(#+ .*|={2,}.*|(?=.*[A-ZÁÉÍÓÖŐÚÜŰ])[^a-záéíóöőúüű]*+)$")
+#: The longest thing BROKEN tells from a text's end.
+TORN = 16
 SHARE, LEAST = 0.2, 4
+#: Share of open ends, and texts it takes, from which a source is one that doesn't end its texts with a mark.
+UNMARKED, ENOUGH = 0.9, 50
 # Fixed value: the reach of an opener where its source closes none.
 REACH = 26
 
@@ -84,9 +89,10 @@ def still_open(text: str) -> int:
 def ending(text: str) -> str:
     """How a text ends: broken, mark, short, number, row, short_row, line (needs no terminator), end, closed or open."""
     t = text.rstrip()
-    lines = [x.strip() for x in t[-4000:].split("\n")]
+    # The last lines, however long they are.
+    lines = [x.strip() for x in t.rsplit("\n", 4)]
     last = lines[-1].lstrip("> ").strip()
-    if BROKEN.search(t):
+    if BROKEN.search(t[-TORN:]):
         return "broken"
     if MARK.search(t):
         return "mark"
@@ -142,6 +148,12 @@ def reach(found: DataFrame) -> DataFrame:
     return found.where("longest > 0 and lost = 0 and opened = 0").groupBy("source").agg(F.percentile_approx("longest", 0.9).alias("reach"))
 
 
+def unmarked(found: DataFrame) -> DataFrame:
+    """(source, unmarked): whether the texts of a source as a rule end on no mark, so that a missing one says nothing there."""
+    open_ = F.sum((F.col("ending") == "open").cast("bigint"))
+    return found.groupBy("source").agg(((F.count("*") >= ENOUGH) & (open_ >= UNMARKED * F.count("*"))).alias("unmarked"))
+
+
 def judged(documents: DataFrame) -> DataFrame:
     """`structure` with at_limit and is_cut."""
     found = cut(structure(documents))
@@ -149,11 +161,13 @@ def judged(documents: DataFrame) -> DataFrame:
     at = F.coalesce(F.array_contains("cs", F.col("chars")), F.lit(False)) | F.coalesce(F.exists("bs", lambda x: F.col("bytes").between(x - 3, x)), F.lit(False))
     out = found.join(lim.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").withColumn("at_limit", at)
     out = out.join(reach(found).withColumnRenamed("source", "z"), F.col("source").eqNullSafe(F.col("z")), "left")
-    sure = F.col("ending").isin("open", "mark", "broken", "short", "short_row")
+    out = out.join(unmarked(found).withColumnRenamed("source", "y"), F.col("source").eqNullSafe(F.col("y")), "left")
+    # A missing mark is a cut where the source sets marks, or at a limit, or with a bracket, quote or tag still open.
+    sure = F.col("ending").isin("mark", "broken", "short", "short_row") | (F.col("ending") == "open") & (~F.coalesce("unmarked", F.lit(False)) | F.col("at_limit") | (F.col("opened") > 0))
     unsure = F.col("ending").isin("closed", "number") & F.col("at_limit")
     # One opener, no farther from the end than what a source closes is long; a text that lost marks elsewhere tells nothing by one more.
     inside = F.col("ending").isin("closed", "number", "end") & (F.col("opened") == 1) & (F.col("lost") == 0) & (F.col("since") <= F.coalesce("reach", F.lit(REACH)))
-    return out.withColumn("is_cut", sure | unsure | inside).drop("s", "cs", "bs", "z", "reach")
+    return out.withColumn("is_cut", sure | unsure | inside).drop("s", "cs", "bs", "z", "reach", "y", "unmarked")
 
 
 def truncated(documents: DataFrame) -> DataFrame:

@@ -1,10 +1,12 @@
 """Visually identical text with different characters, brought to one form.
 
-The clean words of the corpus form vocabulary tries. A weighted edit automaton runs along a trie: characters
-that cannot be seen cost nothing to drop, look-alike letters, other blanks and hyphens, compatibility forms and
-split accents cost nothing to exchange, everything else costs 1. What a word reaches within the budget (0: what
-looks the same) are its canonical spellings; the one in the word's own script and of the most occurrences is
-taken. Words that reach none are normalised by table.
+Words that are plain by themselves (single accented letters, one script, nothing unseen, no compatibility forms) form
+vocabulary tries. A weighted edit automaton runs along a trie for every word that may not be plain: characters that cannot
+be seen cost nothing to drop, look-alike letters, other blanks and hyphens, compatibility forms and split accents cost
+nothing to exchange, everything else costs 1. What a word reaches within the budget (0: what looks the same) are its
+canonical spellings; itself is taken if it is among them, else the one in the script most of its letters are of, then the one
+of the most occurrences. The automaton thus decides for every word that the vocabulary has; only words that reach no
+spelling are normalised by table.
 
 Tries are built for buckets of words that share what they look like, so each task holds one small trie at a
 time and nothing is broadcast.
@@ -79,6 +81,16 @@ def flat(c: str) -> str:
     return unicodedata.normalize("NFKC", c) if unicodedata.normalize("NFKD", c) != unicodedata.normalize("NFD", c) else c
 
 
+def is_plain(word: str) -> bool:
+    """Whether a word is written with nothing but what it shows: the vocabulary's condition."""
+    if CLEAN.fullmatch(word):
+        return True
+    if not unicodedata.is_normalized("NFC", word) or any(flat(c) != c for c in word):
+        return False
+    scripts = {script(c) for c in word} - {""}
+    return len(scripts) < 2 and not ("latin" in scripts and any(c in LATIN for c in word))
+
+
 def by_table(word: str) -> str:
     """The plain form of a word: no unseen characters, one script, single accented letters."""
     if CLEAN.fullmatch(word):
@@ -152,13 +164,24 @@ class Trie:
         return [(cost, n, w) for node, cost in live for n, w in node.get("", ())]
 
 
-def canonical(word: str, trie: Trie) -> str:
-    plain = by_table(word)
-    if plain == word:
-        return word
-    found = [(cost, {script(c) for c in w} - {""} != {script(c) for c in plain} - {""}, -n, w) for cost, n, w in trie.reach(word)]
-    found = [x for x in found if not x[1]]
-    return min(found)[3] if found else plain
+def main_script(word: str) -> str:
+    """The script most letters of a word are of; Latin before others where they are as many."""
+    counts: dict[str, int] = {}
+    for c in word:
+        if s := script(c):
+            counts[s] = counts.get(s, 0) + 1
+    return min(counts, key=lambda s: (-counts[s], s != "latin", s), default="")
+
+
+def canonical(word: str, trie: Trie, budget: int = 0) -> str:
+    """The spelling of the vocabulary that a word reaches, by the table if it reaches none."""
+    reached = trie.reach(word, budget)
+    if not reached:
+        return by_table(word)
+    if len(reached) == 1:
+        return reached[0][2]
+    own = main_script(word)
+    return min(reached, key=lambda x: (x[0], x[2] != word, main_script(x[2]) != own, -x[1], x[2]))[2]
 
 
 def _words(values: DataFrame) -> DataFrame:
@@ -177,28 +200,34 @@ def spellings(values: DataFrame, buckets: int = 1 << 16) -> DataFrame:
 
     def key(batches: Iterator):
         for b in batches:
-            b["looks"] = [looks(w) if s else w if w.isascii() else looks(w) for w, s in zip(b["word"], b["suspect"])]
-            b["dirty"] = [s and by_table(w) != w for w, s in zip(b["word"], b["suspect"])]
+            b["looks"] = [w if not s and w.isascii() else looks(w) for w, s in zip(b["word"], b["suspect"])]
+            b["plain"] = [not s or is_plain(w) for w, s in zip(b["word"], b["suspect"])]
             yield b
 
-    keyed = counted.mapInPandas(key, "word string, n bigint, suspect boolean, looks string, dirty boolean")
+    keyed = counted.mapInPandas(key, "word string, n bigint, suspect boolean, looks string, plain boolean")
     keyed = keyed.withColumn("bucket", F.pmod(F.xxhash64("looks"), F.lit(buckets)))
-    keyed = keyed.repartition("bucket").sortWithinPartitions("bucket", "dirty", "looks", "word").drop("looks")
+    keyed = keyed.repartition("bucket").sortWithinPartitions("bucket").drop("looks")
 
     def match(batches: Iterator):
         import pandas as pd
 
-        at, trie = None, Trie()
+        at, trie, waiting = None, Trie(), []
+
+        def settled() -> list:
+            return [(w, canonical(w, trie)) for w in waiting]
+
         for b in batches:
             out = []
-            for word, n, sus, dirty, bucket in zip(b["word"], b["n"], b["suspect"], b["dirty"], b["bucket"]):
+            for word, n, sus, plain, bucket in zip(b["word"], b["n"], b["suspect"], b["plain"], b["bucket"]):
                 if bucket != at:
-                    at, trie = bucket, Trie()
-                if not dirty:
+                    out += settled()
+                    at, trie, waiting = bucket, Trie(), []
+                if plain:
                     trie.add(word, n)
                 if sus:
-                    out.append((word, canonical(word, trie) if dirty else word))
+                    waiting.append(word)
             yield pd.DataFrame(out, columns=["word", "canonical"])
+        yield pd.DataFrame(settled(), columns=["word", "canonical"])
 
     return keyed.mapInPandas(match, "word string, canonical string")
 

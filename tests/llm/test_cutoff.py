@@ -41,3 +41,18 @@ def test_an_open_bracket_decides(spark, rows):
 def test_marks_without_partner():
     assert cutoff.read_marks("a) (b [c) d (") == ([(")", 12)], 2, 6)
     assert cutoff.read_marks("<b>x</i></b>") == ([], 1, 12)
+
+
+def test_the_whole_last_line_is_read():
+    assert cutoff.ending("Vége.\nPest, 1893. február 12") == "line"
+    row = " | ".join(["szó"] * 3000)
+    assert cutoff.ending(f"{row}\n{row}") == "row" and cutoff.ending(f"{row}\n{row.rsplit(' | ', 1)[0]}") == "short_row"
+    assert cutoff.ending("x.\n" + "SZÓ " * 50_000) == "line" and cutoff.ending("x.\n" + "SZÓ " * 50_000 + "szó") == "open"
+
+
+def test_a_source_that_sets_no_marks(spark, rows):
+    heads = [(i, f"Gőzmalom száma {i} és{'x' * (i % 40)}", "list") for i in range(60)] + [(70, "Tégla (kis", "list"), (71, "Tégla...", "list")]
+    prose = [(100 + i, f"Ez a {i}. mondat kész.", "prose") for i in range(60)] + [(170, "Ez a mondat nem", "prose")]
+    few = [(200 + i, f"Ez nem kész {i} és{'y' * i}", "few") for i in range(10)]
+    d = spark.createDataFrame(heads + prose + few, "doc_id bigint, text string, source string")
+    assert rows(cutoff.truncated(d)) == sorted([(70,), (71,), (170,), *[(200 + i,) for i in range(10)]], key=str)

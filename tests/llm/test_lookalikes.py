@@ -27,6 +27,33 @@ def test_trie_reaches_what_looks_the_same():
     assert la.canonical("gő​zmаlom", t) == "gőzmalom" and la.canonical("új​", t) == "új"
 
 
+def test_the_vocabulary_decides_before_the_table():
+    """Half Cyrillic, half Latin: by the table the word becomes Latin, by a vocabulary that has only the Cyrillic word it becomes that one."""
+    t = la.Trie()
+    t.add("сорока", 3)
+    assert la.by_table("copoка") != "сорока" or la.by_table("cорока") == "сорока"
+    assert la.canonical("copока", t) == "сорока" and la.canonical("copoka", t) == "сорока"
+    t.add("copoka", 9)
+    assert la.canonical("copoka", t) == "copoka" and la.canonical("сорока", t) == "сорока" and la.canonical("copokа", t) == "copoka"
+
+
+@pytest.mark.parametrize("text", [a for a, _ in CASES if a not in ("rév", "a b")])
+def test_what_is_no_plain_word_is_in_no_vocabulary(text):
+    assert not all(la.is_plain(w) for w in text.split(" "))
+
+
+@pytest.mark.parametrize("text", SAME)
+def test_plain_words(text):
+    assert all(la.is_plain(w) for w in text.split(" "))
+
+
+def test_the_automaton_needs_no_table(monkeypatch):
+    t = la.Trie()
+    t.add("gőzmalom", 2)
+    monkeypatch.setattr(la, "by_table", lambda w: "by table")
+    assert [la.canonical(w, t) for w in ("gőzmаlom", "gőz\u200bmalom", "gőzmalom", "szé\u200bk")] == ["gőzmalom", "gőzmalom", "gőzmalom", "by table"]
+
+
 def frame(spark, rows):
     return spark.createDataFrame(rows, "field string, row_key bigint, shape_idx int, value string, word string, bucket int")
 
