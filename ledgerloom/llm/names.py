@@ -51,10 +51,21 @@ SERBIAN = {"а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "ђ": "gy", "
 SOUNDS = (("tsch", "c"), ("sch", "x"), ("cs", "c"), ("zs", "x"), ("sz", "s"), ("gy", "q"), ("dj", "q"), ("ny", "w"), ("nj", "w"), ("ly", "j"), ("ts", "c"), ("y", "i"), ("ck", "k"), ("w", "v"))
 
 
+class _Bare(dict):
+    """What each lower-case character is without accents, in Latin letters."""
+
+    def __missing__(self, code: int) -> str:
+        kd = unicodedata.normalize("NFKD", SERBIAN.get(chr(code), chr(code)))
+        self[code] = out = "".join(c for c in kd if not unicodedata.combining(c)).replace("ß", "ss")
+        return out
+
+
+BARE = _Bare()
+
+
 def plain(text: str) -> str:
     """Lower case without accents, Cyrillic in Latin letters."""
-    t = "".join(SERBIAN.get(c, c) for c in by_table(text).lower())
-    return "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).replace("ß", "ss")
+    return by_table(text).lower().translate(BARE)
 
 
 def sound(word: str) -> str:
@@ -107,24 +118,34 @@ TABLE = _table()
 LONG = [w for w in TABLE if len(w) >= 5]
 
 
-def shortened(word: str, k: int) -> set[str]:
-    """The word with up to k letters left out. Words within k edits of each other share such a form."""
-    out = last = {word}
-    for _ in range(k):
-        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
-        out = out | last
+def letters(word: str) -> int:
+    """The set of a word's letters as bits."""
+    out = 0
+    for c in word:
+        out |= 1 << (ord(c) & 63)
     return out
 
 
-def _near() -> dict[str, list[int]]:
-    index: dict[str, list[int]] = {}
-    for n, w in enumerate(LONG):
-        for form in shortened(w, 2 if len(w) >= 8 else 1):
-            index.setdefault(form, []).append(n)
-    return index
+def borne(word: str) -> int:
+    """Edits that a misprint of a table word may be away."""
+    return 2 if len(word) >= 8 else 1
+
+
+#: The table's long words by their length, with their letters and their place in the table.
+BY_LENGTH: dict[int, list[tuple[int, int, str]]] = {}
+for _n, _w in enumerate(LONG):
+    BY_LENGTH.setdefault(len(_w), []).append((_n, letters(_w), _w))
 
 
-NEAR_WORDS = _near()
+def near(word: str, most: int) -> list[str]:
+    """The table's long words that may be within `most` edits and what they bear, in the order of the table: an edit brings in and takes out at most one letter."""
+    has, out = letters(word), []
+    for n in range(len(word) - most, len(word) + most + 1):
+        for place, own, w in BY_LENGTH.get(n, ()):
+            k = min(most, borne(w))
+            if abs(n - len(word)) <= k and (has & ~own).bit_count() <= k and (own & ~has).bit_count() <= k:
+                out.append((place, w))
+    return [w for _, w in sorted(out)]
 
 
 @lru_cache(200_000)
@@ -135,16 +156,15 @@ def told(word: str) -> tuple[str, str] | None:
         return TABLE[word]
     if len(word) < 5 or len(word) > 40:
         return None
-    for n in sorted({n for form in shortened(word, 2) for n in NEAR_WORDS.get(form, ())}):
-        w = LONG[n]
-        k = 2 if len(w) >= 8 else 1
+    for w in near(word, 2):
+        k = borne(w)
         if edit_distance(word, w, k) <= k:
             return TABLE[w]
     r = word.replace("rn", "m").replace("lc", "k")
     if r != word:
-        for n in sorted({n for form in shortened(r, 1) for n in NEAR_WORDS.get(form, ())}):
-            if TABLE[LONG[n]][0] == "business" and len(LONG[n]) >= 8 and edit_distance(r, LONG[n], 1) <= 1:
-                return TABLE[LONG[n]]
+        for w in near(r, 1):
+            if TABLE[w][0] == "business" and len(w) >= 8 and edit_distance(r, w, 1) <= 1:
+                return TABLE[w]
     return None
 
 
