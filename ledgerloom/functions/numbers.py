@@ -68,13 +68,35 @@ def difference_hint(printed: Column, computed: Column) -> Column:
     )
 
 
+def log_factorial(n: Column) -> Column:
+    """ln n! by Stirling's series from 16 on, by the sum of logs below."""
+    x = F.greatest(n, F.lit(16)).cast("double") + 1
+    series = (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * F.pow(x, F.lit(3))) + 1 / (1260 * F.pow(x, F.lit(5)))
+    small = F.element_at(F.array(*[F.lit(math.lgamma(k + 1)) for k in range(16)]), F.least(n, F.lit(15)).cast("int") + 1)
+    return F.when(n < 16, small).otherwise(series)
+
+
 def binomial_tail(k: Column, n: Column, p: float) -> Column:
-    """P(X >= k) of a binomial, exactly, by the ratio of its terms."""
-    q = math.log(1 - p)
-    first = F.exp(n * q)
-    step = lambda s, i: F.struct((s["term"] * (n - i + 1) / i * (p / (1 - p))).alias("term"), (s["sum"] + F.when(i >= k, s["term"] * (n - i + 1) / i * (p / (1 - p))).otherwise(0.0)).alias("sum"))
-    start = F.struct(first.alias("term"), F.when(k <= 0, first).otherwise(0.0).alias("sum"))
-    return F.when(n <= 0, F.when(k <= 0, 1.0).otherwise(0.0)).otherwise(F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.greatest(n.cast("bigint"), F.lit(1).cast("bigint"))), start, step, lambda s: F.least(s["sum"], F.lit(1.0))))
+    """P(X >= k) of a binomial, by the ratio of its terms from the one at k away from the mean.
+
+    The first term comes from logs, so that many trials don't make it nought; terms fall off, and those of more than 40 deviations are below what a
+    double can show.
+    """
+    k, n = k.cast("bigint"), n.cast("bigint")
+    term = lambda i: F.exp(log_factorial(n) - log_factorial(i) - log_factorial(n - i) + i * math.log(p) + (n - i) * math.log(1 - p))
+    reach = (40 * F.sqrt(n * p * (1 - p)) + 200).cast("bigint")
+    up, down = (lambda i: (n - i + 1) / i * (p / (1 - p))), (lambda i: (i + 1) / (n - i) * ((1 - p) / p))
+
+    def total(first: Column, steps: Column, ratio) -> Column:
+        begin = F.struct(first.alias("term"), first.alias("sum"))
+        step = lambda s, i: F.struct((s["term"] * ratio(i)).alias("term"), (s["sum"] + s["term"] * ratio(i)).alias("sum"))
+        return F.aggregate(steps, begin, step, lambda s: s["sum"])
+
+    none = F.array().cast("array<bigint>")
+    last, least = F.least(n, k + reach), F.greatest(F.lit(0).cast("bigint"), k - 1 - reach)
+    above = total(term(k), F.when(last > k, F.sequence(k + 1, last)).otherwise(none), up)
+    below = total(term(k - 1), F.when(k - 1 > least, F.sequence(k - 2, least, F.lit(-1).cast("bigint"))).otherwise(none), down)
+    return F.when(k <= 0, 1.0).when(k > n, 0.0).when(k > n * p, F.least(F.lit(1.0), above)).otherwise(F.greatest(F.lit(0.0), 1.0 - below))
 
 
 def digit_edits(c: Column) -> Column:

@@ -46,8 +46,8 @@ def comparable(value: Column) -> Column:
     return F.when(grouped, as_grouped).when(plain, as_plain).otherwise(bare)
 
 
-def canonical_ids(edges: DataFrame, kind: str = "duplicate_of") -> DataFrame:
-    """(id, canonical): the end of the chain of `kind` edges of every id that has one.
+def _pointers(edges: DataFrame, kind: str) -> tuple[DataFrame, bool]:
+    """((id, to, least) with `to` as far along the chain as it goes, whether what is left runs in circles).
 
     Pointer doubling: after round r every pointer spans 2^r edges, so a chain of n edges takes log2(n) joins of
     the edge list with itself. Each pointer carries the least id it has passed, which names circles.
@@ -62,12 +62,31 @@ def canonical_ids(edges: DataFrame, kind: str = "duplicate_of") -> DataFrame:
     for _ in range(rounds):
         nxt = hop.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("least").alias("least2"))
         if nxt.join(hop, "to", "left_semi").limit(1).count() == 0:
-            return hop.select("id", F.col("to").alias("canonical"))
+            return hop, False
         hop = cut(hop.join(nxt, "to", "left").select("id", F.coalesce("to2", "to").alias("to"), F.least("least", "least2").alias("least")))
+    return hop, True
+
+
+def canonical_ids(edges: DataFrame, kind: str = "duplicate_of") -> DataFrame:
+    """(id, canonical): the end of the chain of `kind` edges of every id that has one; a circle stands for its least id."""
+    hop, round_ = _pointers(edges, kind)
+    if not round_:
+        return hop.select("id", F.col("to").alias("canonical"))
     circle = hop.select(F.col("id").alias("to"), F.col("least").alias("circle"))
     return hop.join(circle, "to", "left").select("id", F.coalesce("circle", "to").alias("canonical"))
 
 
+def circles(edges: DataFrame, kind: str = "duplicate_of") -> DataFrame:
+    """(id, circle): the ids whose chain of `kind` edges comes back to them, with the least id of their circle.
+
+    A pointer that has gone farther than any chain is long stands on a circle, and all places of a circle are stood on.
+    """
+    hop, round_ = _pointers(edges, kind)
+    on = hop.select(F.col("to").alias("id")).distinct()
+    out = hop.join(on, "id", "left_semi").select("id", F.col("least").alias("circle"))
+    return out if round_ else out.limit(0)
+
+
 def _fold(rows: DataFrame, canon: DataFrame, key: str) -> DataFrame:
     c = canon.select(F.col("id").alias(key), F.col("canonical").alias("__canon"))
     return rows.join(c, key, "left").withColumn(key, F.coalesce("__canon", key)).drop("__canon")

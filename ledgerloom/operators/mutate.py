@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.history import canonical_ids
-from ledgerloom.runtime import ranked
+from ledgerloom.operators.history import circles
+from ledgerloom.runtime import cut, ranked
 
 
 def overlaid(rows: DataFrame, changes: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
@@ -55,11 +55,16 @@ def accepted(boxes: DataFrame, decisions: DataFrame, key: list[str]) -> DataFram
     return j.withColumn("previous", before).withColumn("blank", F.when(seen, F.col("__v") == "").otherwise(F.col("blank"))).withColumn("human", F.when(seen & (F.col("__v") != ""), F.col("__v")).when(seen, None).otherwise(F.col("human"))).drop("__v")
 
 
+def _padded(number, width: int):
+    """A number with noughts before it; one that is longer keeps its digits."""
+    return F.when(F.length(number) >= width, number).otherwise(F.lpad(number, width, "0"))
+
+
 def minted(records: DataFrame, entities: DataFrame, prefix: str, width: int, order: list[str]) -> DataFrame:
     """`records` with a new entity id each, going on from the greatest there is, and namesakes: the entities of exactly that name."""
     top = entities.where(F.col("id").startswith(prefix)).agg(F.coalesce(F.max(F.substring("id", len(prefix) + 1, 30).try_cast("bigint")), F.lit(0)).alias("__m"))
     same = entities.groupBy("name").agg(F.array_sort(F.collect_set("id")).alias("namesakes"))
-    n = ranked(records, order, "__k").join(F.broadcast(top)).withColumn("id", F.concat(F.lit(prefix), F.lpad((F.col("__m") + F.col("__k")).cast("string"), width, "0")))
+    n = ranked(records, order, "__k").join(F.broadcast(top)).withColumn("id", F.concat(F.lit(prefix), _padded((F.col("__m") + F.col("__k")).cast("string"), width)))
     return n.join(same, "name", "left").withColumn("namesakes", F.coalesce("namesakes", F.array().cast("array<string>"))).drop("__m", "__k")
 
 
@@ -71,15 +76,27 @@ def attached(slices: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 
 
 def with_edges(edges: DataFrame, new: DataFrame, types: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(edges, refused): edges with new ones of known types between two entities, each once; a duplicate_of that would close a circle is refused."""
+    """(edges, refused): edges with new ones of known types between two entities, each once; of the new duplicate_of edges that close a circle, with old
+    edges or with each other, the last one is refused."""
     n = new.where(F.col("type").isin(types) & F.col("from_id").isNotNull() & F.col("to_id").isNotNull() & (F.col("from_id") != F.col("to_id"))).dropDuplicates(["from_id", "to_id", "type"])
-    n = n.join(edges.select("from_id", "to_id", "type").distinct(), ["from_id", "to_id", "type"], "left_anti")
-    c = canonical_ids(edges)
-    end = lambda d, col, out: d.join(c.select(F.col("id").alias(col), F.col("canonical").alias(f"__{out}")), col, "left").withColumn(out, F.coalesce(f"__{out}", col)).drop(f"__{out}")
-    n = end(end(n, "from_id", "__f"), "to_id", "__t")
-    circle = (F.col("type") == "duplicate_of") & (F.col("__f") == F.col("__t"))
-    good, bad = n.where(~circle).drop("__f", "__t"), n.where(circle).drop("__f", "__t")
-    return edges.unionByName(good.select(*edges.columns)), bad
+    good = cut(n.join(edges.select("from_id", "to_id", "type").distinct(), ["from_id", "to_id", "type"], "left_anti").select(*edges.columns))
+    refused = good.limit(0)
+    # Each id has one edge that counts, so a circle is opened by taking out one; what then counts instead is looked at again.
+    while True:
+        on = circles(edges.unionByName(good))
+        a, b = on.select(F.col("id").alias("from_id"), F.col("circle").alias("__f")), on.select(F.col("id").alias("to_id"), F.col("circle").alias("__t"))
+        met = good.where("type = 'duplicate_of'").join(a, "from_id").join(b, "to_id").where("__f = __t")
+        last = cut(met.withColumn("__r", F.row_number().over(W.partitionBy("__f").orderBy(F.col("ts").desc(), F.col("from_id").desc(), F.col("to_id").desc()))).where("__r = 1").select(*edges.columns))
+        if last.limit(1).count() == 0:
+            return edges.unionByName(good), refused
+        good, refused = cut(good.join(last.select("from_id", "to_id", "type"), ["from_id", "to_id", "type"], "left_anti").select(*edges.columns)), refused.unionByName(last)
+
+
+def unmerged(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """`edges` without the duplicate_of edges between the pairs (a, b), in either direction: what was folded stands alone again."""
+    p = pairs.select(F.least("a", "b").alias("__a"), F.greatest("a", "b").alias("__b")).distinct()
+    taken = edges.where("type = 'duplicate_of'").join(p, (F.least("from_id", "to_id") == F.col("__a")) & (F.greatest("from_id", "to_id") == F.col("__b")), "left_semi").select("from_id", "to_id", "type").distinct()
+    return edges.join(taken, ["from_id", "to_id", "type"], "left_anti").select(*edges.columns)
 
 
 def merged_entities(pairs: DataFrame) -> DataFrame:

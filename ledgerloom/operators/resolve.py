@@ -225,8 +225,11 @@ def citations(records: DataFrame, issues: DataFrame, volumes: DataFrame) -> Data
     i = issues.select(F.col("year").alias("__iy"), F.col("issue").alias("__ii"), "entity")
     met = r.join(i, (F.col("issue") == F.col("__ii")) & F.when(F.col("__y").isNotNull(), F.col("__iy") == F.col("__y")).otherwise(F.col("__iy").isin(F.col("year"), F.col("year") - 1)))
     lane = F.when(F.col("__y").isNotNull(), "named volume").when(F.col("__iy") == F.col("year"), "this volume").otherwise("volume before")
-    above = records.join(issues.select("year", F.col("pos").alias("__p"), "entity"), "year").where("previous and __p < pos")
-    top = above.groupBy("record").agg(F.max_by("entity", "__p").alias("entity")).withColumn("lane", F.lit("entry above"))
+    # The entry printed above is the last one before the record in an ordered union of both.
+    both = issues.select("year", "pos", F.lit(None).cast(dict(records.dtypes)["record"]).alias("record"), "entity", F.lit(False).alias("previous"), F.lit(1).alias("__k")).unionByName(
+        records.select("year", "pos", "record", F.lit(None).cast(dict(issues.dtypes)["entity"]).alias("entity"), "previous", F.lit(0).alias("__k")))
+    above = F.last("entity", True).over(W.partitionBy("year").orderBy("pos", "__k").rowsBetween(W.unboundedPreceding, W.currentRow))
+    top = both.withColumn("entity", above).where("record is not null and previous and entity is not null").select("record", "entity", F.lit("entry above").alias("lane"))
     return met.select("record", "entity", lane.alias("lane")).unionByName(top).distinct()
 
 

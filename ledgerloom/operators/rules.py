@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ast
 import re
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
@@ -228,14 +229,16 @@ def fewest_edits(rows: DataFrame, rules: list[dict], keys: list[str], names: lis
     return rows.select(*keys, *names).mapInPandas(search, schema)
 
 
-def batch_clean(rows: DataFrame, rules: list[dict], keys: list[str], names: list[str], min_fix: int = 2, rounds: int = 10) -> tuple[DataFrame, DataFrame]:
+def batch_clean(rows: DataFrame, rules: list[dict], keys: list[str], names: list[str], min_fix: int = 2) -> tuple[DataFrame, DataFrame]:
     """The rows after repeated best edits, and the audit (round, keys..., variable, old, new, fixed).
 
     Each round applies to every row the edits that fix as many rules as the best of all rows does and break none, one per row, and ends
-    below `min_fix`. Rounds are cut by checkpoint, so a lost executor costs one round.
+    below `min_fix`. As every edit fixes more than it breaks, rounds come to an end. They are cut by checkpoint, so a lost executor costs one round.
     """
+    if min_fix < 1:
+        raise ValueError("an edit must fix at least one rule")
     audit, cur = None, rows
-    for k in range(1, rounds + 1):
+    for k in count(1):
         edits = cut(best_edits(cur, rules, keys, names, 1).where((F.col("broken") == 0) & (F.col("fixed") >= min_fix)))
         most = edits.agg(F.max("fixed")).first()[0]
         if most is None:

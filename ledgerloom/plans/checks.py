@@ -149,9 +149,12 @@ def trailing_one(spark, root):
     return t.select("variable", "page", "k", "n", F.round("share", 6).alias("share"))
 
 
-@query()
+@query("""WITH d AS (SELECT l_returnflag AS variable, l_suppkey AS page, CAST(CAST(trunc(l_extendedprice) AS BIGINT) AS VARCHAR) || CASE WHEN l_suppkey = 7 AND l_returnflag = 'N' THEN '1' ELSE '' END AS t, length(CAST(CAST(trunc(l_extendedprice) AS BIGINT) AS VARCHAR)) AS digits FROM lineitem),
+ c AS (SELECT variable, page, count(*) FILTER (right(t, 1) = '1') AS k, count(*) AS n FROM d WHERE digits >= 2 AND right(t, 1) <> '0' GROUP BY 1, 2), m AS (SELECT greatest(count(*), 1) AS tests FROM c WHERE n >= 30),
+ p AS (SELECT *, least(1.0, tests * list_sum(list_transform(range(k, n + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(1.0::DOUBLE / 9) + (n - i) * ln(8.0::DOUBLE / 9))))) AS p_adj FROM c, m WHERE n >= 30)
+ SELECT variable, page, k, n, round(p_adj, 9) AS p_adj FROM p WHERE p_adj < 0.01 AND k / n >= 2.0 / 9""")
 def trailing_one_flags(spark, root):
-    """Pages whose numbers end in 1 too often, one page made so; the tail of the binomial is not in SQL, tests hold it against exact sums."""
+    """Pages whose numbers end in 1 too often, one page made so."""
     v = table(spark, root, "lineitem").select(F.col("l_returnflag").alias("variable"), F.col("l_suppkey").alias("page"), F.col("l_extendedprice").alias("value"))
     v = v.withColumn("txt", F.when((F.col("page") == 7) & (F.col("variable") == "N"), F.concat(F.col("value").cast("bigint").cast("string"), F.lit("1"))).otherwise(F.col("value").cast("bigint").cast("string")))
     return diagnostics.trailing_one(v, "page", F.col("txt")).where("flagged").select("variable", "page", "k", "n", F.round("p_adj", 9).alias("p_adj"))

@@ -43,7 +43,8 @@ def containment_smallest(spark, root):
     return geometry.smallest_parent(b.where("label = 'N'"), b.where("label = 'A'"), ["page"]).select("page", F.col("a_idx").alias("child"), F.col("b_idx").alias("parent"))
 
 
-@query(WITH + """ SELECT c.page, c.idx AS child, p.idx AS parent FROM boxes c JOIN boxes p ON c.page = p.page AND c.label = 'N' AND p.label = 'A' AND (c.x1 + c.x2) / 2 BETWEEN p.x1 AND p.x2 AND (c.y1 + c.y2) / 2 BETWEEN p.y1 AND p.y2""")
+@query(WITH.replace("boxes AS (", "boxes AS MATERIALIZED (") + """, met AS MATERIALIZED (SELECT c.page, c.idx AS child, p.idx AS parent, (c.x1 + c.x2) / 2 AS cx, (c.y1 + c.y2) / 2 AS cy, p.x1, p.x2, p.y1, p.y2 FROM boxes c JOIN boxes p ON c.page = p.page WHERE c.label = 'N' AND p.label = 'A')
+ SELECT page, child, parent FROM met WHERE cx >= x1 AND cx <= x2 AND cy >= y1 AND cy <= y2""")
 def contained_grid(spark, root):
     """Containment of all parents through a grid of cells, for very full pages."""
     b = boxes(spark, root)

@@ -16,13 +16,15 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """`df` written once to the shared checkpoint folder and read from there.
 
-    The folder is spark.checkpoint.dir as the cluster names it. A folder of our own is used only where none
-    is set, which is the case on a single machine in tests.
+    The folder is spark.checkpoint.dir as the cluster names it. A folder of our own is used only on a single machine where none
+    is set, as in tests; a cluster must name one, since a folder of one machine is lost with it.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "ledgerloom-checkpoints")
-        sc.setCheckpointDir(shared)
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "ledgerloom-checkpoints"))
     return df.checkpoint(eager=True)
 
 
@@ -89,30 +91,32 @@ def spread(df: DataFrame) -> DataFrame:
 def exact_quantiles(df: DataFrame, by: str, value: str, probs: dict[str, float]) -> DataFrame:
     """(by, n, a column for each of `probs`): exact quantiles with linear interpolation, nulls left out.
 
-    The built-in exact percentile holds all distinct values of a group in one task. Here values are range-partitioned and
-    numbered; only the two rows on either side of each quantile are gathered.
+    The built-in exact percentile holds all distinct values of a group in one task. Here equal values are counted first, with map-side
+    combine, so that a value which very many rows have is one row; different values are range-partitioned and their counts summed up,
+    and only the two on either side of each quantile are gathered.
     """
     from pyspark.sql import Window as W
     from pyspark.sql import functions as F
 
-    v = df.select(F.col(by), F.col(value).cast("double").alias("__v")).where("__v is not null")
+    v = df.select(F.col(by), F.col(value).cast("double").alias("__v")).where("__v is not null").groupBy(by, "__v").agg(F.count("*").alias("__c"))
     d = cut(v.repartitionByRange(by, "__v").withColumn("__p", F.spark_partition_id()))
-    counts = d.groupBy(by, "__p").agg(F.count("*").alias("__c"))
+    counts = d.groupBy(by, "__p").agg(F.sum("__c").alias("__c"))
     w = W.partitionBy(by)
     counts = counts.withColumn("__o", F.coalesce(F.sum("__c").over(w.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("n", F.sum("__c").over(w))
     place = {k: (F.col("n") - 1) * p for k, p in probs.items()}
-    # Partitions that hold no wanted position need no order.
-    inside = [F.floor(x).between(F.col("__o"), F.col("__o") + F.col("__c") - 1) | F.ceil(x).between(F.col("__o"), F.col("__o") + F.col("__c") - 1) for x in place.values()]
-    wanted = counts
-    any_in = inside[0]
-    for i in inside[1:]:
-        any_in = any_in | i
-    r = d.join(wanted.where(any_in), [by, "__p"]).withColumn("__i", F.row_number().over(W.partitionBy(by, "__p").orderBy("__v")) - 1 + F.col("__o"))
-    hit = F.lit(False)
-    for x in place.values():
-        hit = hit | (F.col("__i") == F.floor(x)) | (F.col("__i") == F.ceil(x))
-    r = r.where(hit)
-    lo = {k: F.max(F.when(F.col("__i") == F.floor(x), F.col("__v"))) for k, x in place.items()}
-    hi = {k: F.max(F.when(F.col("__i") == F.ceil(x), F.col("__v"))) for k, x in place.items()}
+    holds = lambda x, least, more: (x >= F.col(least)) & (x < F.col(least) + F.col(more))
+    wanted = lambda least, more: _any([holds(f(x), least, more) for x in place.values() for f in (F.floor, F.ceil)])
+    # Partitions that hold no wanted place need no order.
+    r = d.join(counts.where(wanted("__o", "__c")).select(by, "__p", "__o", "n"), [by, "__p"])
+    upto = F.sum("__c").over(W.partitionBy(by, "__p").orderBy("__v").rowsBetween(W.unboundedPreceding, 0))
+    r = r.withColumn("__at", upto + F.col("__o") - F.col("__c")).where(wanted("__at", "__c"))
+    at = lambda x: F.max(F.when(holds(x, "__at", "__c"), F.col("__v")))
     part = {k: F.max(x - F.floor(x)) for k, x in place.items()}
-    return r.groupBy(by).agg(F.max("n").alias("n"), *[(lo[k] + (hi[k] - lo[k]) * part[k]).alias(k) for k in probs])
+    return r.groupBy(by).agg(F.max("n").alias("n"), *[(at(F.floor(x)) + (at(F.ceil(x)) - at(F.floor(x))) * part[k]).alias(k) for k, x in place.items()])
+
+
+def _any(conditions: list):
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out | c
+    return out
