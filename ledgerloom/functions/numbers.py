@@ -58,16 +58,22 @@ def one_char_apart(a: Column, b: Column) -> Column:
 
 
 def difference_hint(printed: Column, computed: Column) -> Column:
-    """What the difference of a printed and a computed number looks like."""
+    """What the difference of a printed and a computed number looks like; a nought on either side explains nothing."""
+    some = (printed != 0) & (computed != 0)
     d = F.abs(printed - computed)
     times = lambda k: ((printed == computed * k) | (computed == printed * k)) & (printed != 0) & (computed != 0)
     return (
-        F.when(times(10) | times(100) | times(1000), "factor")
+        F.when(~some, None).when(times(10) | times(100) | times(1000), "factor")
         .when(one_char_apart(number_text(printed), number_text(computed)), "one character")
         .when((d > 0) & (d == F.floor(d)) & (F.pmod(d, F.lit(9)) == 0), "transposed")
     )
 
 
+def slip_note(current: Column, wanted: Column) -> Column:
+    """'trailing 1' where the printed number is the wanted one with a 1 behind it, as a column rule is misread; else null."""
+    return F.when(number_text(current) == F.concat(number_text(wanted), F.lit("1")), "trailing 1")
+
+
 def log_factorial(n: Column) -> Column:
     """ln n! by Stirling's series from 16 on, by the sum of logs below."""
     x = F.greatest(n, F.lit(16)).cast("double") + 1

@@ -69,8 +69,18 @@ def ratio_bounds(rows: DataFrame, numerator: Column, denominator: Column, least:
     return rows.withColumn("ratio", ratio).withColumn("status", F.when(F.col("ratio").isNull(), "untestable").when(low, "low").when(high, "high").otherwise("ok"))
 
 
-def population(values: DataFrame, by: str = "variable") -> DataFrame:
-    """The values that are tested: without zeros where more than half are zero; `t` is log1p unless a value is negative."""
+def population(values: DataFrame, by: str = "variable", declared: DataFrame | None = None) -> DataFrame:
+    """The values that are tested: without zeros where more than half are zero; `t` is log1p unless a value is negative.
+
+    `declared` (by, scale, stats), one row for each variable that declares something, may set the scale to 'log' or 'raw', and stats to false, which
+    leaves the variable out.
+    """
+    if declared is not None:
+        d = declared.select(by, F.when(F.col("scale").isin("log", "raw"), F.col("scale")).alias("__scale"), F.coalesce("stats", F.lit(True)).alias("__stats"))
+        v = values.join(d, by, "left").where(F.coalesce("__stats", F.lit(True)))
+        plain = population(v.drop("__scale", "__stats"), by)
+        logs = plain.join(d.select(by, "__scale"), by, "left").withColumn("scale", F.coalesce("__scale", "scale")).drop("__scale")
+        return logs.withColumn("t", F.when(F.col("scale") == "raw", F.col("value").cast("double")).otherwise(F.log1p("value")))
     stats = values.where("value is not null").groupBy(by).agg(F.min("value").alias("__least"), F.avg((F.col("value") == 0).cast("double")).alias("__zeros"))
     v = values.where("value is not null").join(stats, by)
     v = v.where(~((F.col("__zeros") > ZERO_SHARE) & (F.col("value") == 0)))
@@ -86,9 +96,9 @@ def fences(tested: DataFrame, by: str = "variable") -> DataFrame:
     return q.join(mad, by).join(digits, by, "left")
 
 
-def outliers(values: DataFrame, by: str = "variable") -> DataFrame:
+def outliers(values: DataFrame, by: str = "variable", declared: DataFrame | None = None) -> DataFrame:
     """The tested values with z, severity (extreme, mild, null) by the quartile fences and the median deviation, and long_number."""
-    tested = population(values, by)
+    tested = population(values, by, declared)
     f = fences(tested, by)
     iqr = F.col("q3") - F.col("q1")
     out_of = lambda k: (F.col("t") < F.col("q1") - k * iqr) | (F.col("t") > F.col("q3") + k * iqr)
@@ -242,6 +252,14 @@ def adjudicate(findings: DataFrame, confirmations: DataFrame, before: DataFrame)
     return j.select("check", flagged.alias("flagged"), confirmed.alias("confirmed"), (flagged - confirmed).alias("open"), F.coalesce("corrected", F.lit(0)).alias("corrected"))
 
 
+def top_gap(values: DataFrame, by: str = "variable") -> DataFrame:
+    """(by, top_gap): how many times the greatest value of a variable is the one below it; null where that isn't positive."""
+    two = values.where("value is not null").groupBy(by).agg(F.max("value").alias("__a"))
+    ties = values.join(two.select(by, "__a"), by).groupBy(by).agg(F.max(F.when(F.col("value") < F.col("__a"), F.col("value"))).alias("__b"), F.sum((F.col("value") == F.col("__a")).cast("bigint")).alias("__t"), F.max("__a").alias("__a"))
+    below = F.when(F.col("__t") > 1, F.col("__a")).otherwise(F.col("__b"))
+    return ties.select(by, F.when(below > 0, F.col("__a") / below).alias("top_gap"))
+
+
 def run_history(runs: DataFrame, keep: int = 50) -> DataFrame:
     """The last `keep` runs of each check, newest first."""
     w = W.partitionBy("check").orderBy(F.col("ts").desc(), F.col("run_id").desc())

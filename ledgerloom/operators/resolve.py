@@ -99,15 +99,17 @@ def similar_texts(left: DataFrame, right: DataFrame, floor: float, salts: int =
     return met.select("q", "e", similarity(F.col("q"), F.col("e")).alias("score")).where(F.col("score") >= floor)
 
 
-def candidates(queries: DataFrame, names: DataFrame, floor: float = FLOOR, top: int = TOP) -> DataFrame:
+def candidates(queries: DataFrame, names: DataFrame, floor: float = FLOOR, top: int = TOP, rescore=None) -> DataFrame:
     """(record, entity, score, rank): the entities with a name that scores `floor` or more against a query, the best score of all queries each.
 
     `queries` is (record, query), `names` (entity, name). The score is the similarity of the whole folded names; a common token is not needed, and how frequent
-    a token is plays no part.
+    a token is plays no part. `rescore`, a function of the two folded names and the score, may put another score in its place; what then falls below the floor goes.
     """
     q = queries.select("record", F.nullif(fold(F.col("query")), F.lit("")).alias("q")).where("q is not null").distinct()
     e = names.select("entity", F.nullif(fold(F.col("name")), F.lit("")).alias("e")).where("e is not null").distinct()
     scored = similar_texts(q, e, floor)
+    if rescore is not None:
+        scored = scored.withColumn("score", rescore(F.col("q"), F.col("e"), F.col("score"))).where(F.col("score") >= floor)
     met = q.join(scored, "q").join(e, "e").groupBy("record", "entity").agg(F.max("score").alias("score"))
     return met.withColumn("rank", F.row_number().over(W.partitionBy("record").orderBy(F.col("score").desc(), "entity"))).where(F.col("rank") <= top)
 

@@ -135,9 +135,10 @@ def _option(name: str, old: Column):
     return lambda e: F.struct(F.lit(name).alias("variable"), old.alias("old"), e.alias("new"))
 
 
-def best_edits(rows: DataFrame, rules: list[dict], keys: list[str], names: list[str], top: int = 8) -> DataFrame:
-    """The best edits of each row: none newly broken first, then most fixed, then most of the difference taken away."""
-    w = W.partitionBy(*keys).orderBy("broken", F.col("fixed").desc(), F.col("reduction").desc(), "variable", "new")
+def best_edits(rows: DataFrame, rules: list[dict], keys: list[str], names: list[str], top: int = 8, hierarchy: dict[str, int] | None = None) -> DataFrame:
+    """The best edits of each row: none newly broken first, then most fixed, then most of the difference taken away, then variables that stand highest in `hierarchy`."""
+    ranks = F.coalesce(*[F.when(F.col("variable") == n, F.lit(k)) for n, k in (hierarchy or {}).items()], F.lit(0))
+    w = W.partitionBy(*keys).orderBy("broken", F.col("fixed").desc(), F.col("reduction").desc(), ranks.desc(), "variable", "new")
     return single_edits(rows, rules, keys, names).where("fixed > 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
@@ -273,3 +274,36 @@ def crawl_shift(counts: DataFrame, group: list[str], position: str, n: str) -> D
     c = c.withColumn("__total", F.sum("__bad").over(W.partitionBy(*group))).withColumn("__cost", F.coalesce(before, F.lit(0)) + after)
     best = c.groupBy(*group).agg(F.min(F.struct("__cost", F.col(position).alias("p"))).alias("b"), F.max("__total").alias("before"))
     return best.where("b.__cost < before").select(*group, F.col("b.p").alias("best_position"), "before", F.col("b.__cost").alias("after"))
+
+
+def crawl_repairs(rows: DataFrame, rules: list[dict], group: list[str], order: list[str], names: list[str], lines: DataFrame) -> DataFrame:
+    """(group..., position, variables, direction, before, after, gain): where a column of a lattice element slipped against the others, the best gain first.
+
+    `lines` is (group..., variable, lines): what a column's cell had in print. A column with fewer lines than most gets a nought put in, one with more
+    loses a line; the rest of it shifts by one. The place that leaves the fewest broken rules is taken, the first of several. A row is judged with the
+    column's own value, a nought, the value before and the value behind it, so that prefix sums give every place at once.
+    """
+    usual = lines.groupBy(*group, "lines").agg(F.count("*").alias("__n")).groupBy(*group).agg(F.max_by("lines", F.struct("__n", "lines")).alias("__u"), F.sum("__n").alias("__all"))
+    off = lines.join(usual.where("__all > 1 and __u > 0"), group).withColumn("__d", F.col("lines") - F.col("__u")).where("__d <> 0").select(*group, "variable", "__d")
+    by, w = W.partitionBy(*group), W.partitionBy(*group).orderBy(*order)
+    base = rows.select(*group, *order, *[F.col(n).cast("double").alias(n) for n in names])
+    plain = {n: F.col(n) for n in names}
+
+    def broken(columns: dict[str, Column]) -> Column:
+        checks = [F.coalesce(violated(compile_rule(r["lhs"], columns) - compile_rule(r["rhs"], columns), r.get("operator", "="), r.get("tol", 0.0)), F.lit(False)).cast("bigint") for r in rules]
+        return sum(checks[1:], checks[0])
+
+    r = base.withColumn("__p", F.row_number().over(w)).withColumn("__size", F.count("*").over(by)).withColumn("__b", broken(plain))
+    for n in names:
+        r = r.withColumn(f"__prev_{n}", F.lag(n).over(w)).withColumn(f"__next_{n}", F.lead(n).over(w))
+    each = [F.struct(F.lit(n).alias("variable"), F.col(n).isNotNull().alias("filled"), broken(plain | {n: F.lit(0.0)}).alias("nought"), broken(plain | {n: F.col(f"__prev_{n}")}).alias("prev"), broken(plain | {n: F.col(f"__next_{n}")}).alias("next")) for n in names]
+    long = r.select(*group, "__p", "__size", "__b", F.explode(F.array(*each)).alias("e")).select(*group, "__p", "__size", "__b", "e.*").join(off, [*group, "variable"])
+    wv = W.partitionBy(*group, "variable").orderBy("__p")
+    upto = F.coalesce(F.sum("__b").over(wv.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rest_down = F.coalesce(F.sum("prev").over(wv.rowsBetween(1, W.unboundedFollowing)), F.lit(0))
+    rest_up = F.sum("next").over(wv.rowsBetween(0, W.unboundedFollowing))
+    after = F.when(F.col("__d") < 0, upto + F.col("nought") + rest_down).when(F.col("filled"), upto + rest_up)
+    tried = long.withColumn("__after", after).withColumn("__before", F.sum("__b").over(W.partitionBy(*group, "variable"))).where("__size > 1 and __after is not null")
+    best = tried.groupBy(*group, "variable").agg(F.min(F.struct("__after", "__p")).alias("b"), F.max("__before").alias("before"), F.max("__d").alias("__d")).where("b.__after < before")
+    out = best.groupBy(*group, F.col("b.__p").alias("position"), F.when(F.col("__d") < 0, "down").otherwise("up").alias("direction")).agg(F.sort_array(F.collect_list("variable")).alias("variables"), F.max("before").alias("before"), F.min("b.__after").alias("after"))
+    return out.withColumn("gain", F.col("before") - F.col("after")).orderBy(F.col("gain").desc(), *group, "position")
