@@ -46,13 +46,13 @@ def compile_rule(text: str, columns: dict[str, Column]) -> Column:
         raise ValueError(f"not allowed in a rule: {text!r}")
 
     try:
-        return walk(ast.parse(text, mode="eval"))
+        return walk(ast.parse(text.strip(), mode="eval"))
     except SyntaxError as e:
         raise ValueError(f"not a rule: {text!r}") from e
 
 
 def variables(text: str) -> set[str]:
-    return {n.id for n in ast.walk(ast.parse(text, mode="eval")) if isinstance(n, ast.Name)} - set(FUNCTIONS)
+    return {n.id for n in ast.walk(ast.parse(text.strip(), mode="eval")) if isinstance(n, ast.Name)} - set(FUNCTIONS)
 
 
 def weight(lhs: str, rhs: str) -> float:
