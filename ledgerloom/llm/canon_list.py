@@ -122,10 +122,14 @@ def _beginnings(short: DataFrame, refs: DataFrame) -> DataFrame:
     return short.where(F.length("word") >= 4).join(starts, ["type", "word"]).select("type", "word", "key", F.lit(0).alias("distance"))
 
 
-def resolve(cells: DataFrame, columns: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(cell_id, entity_id) of every cell of an entity column; 'none' where the list has no such entry."""
+def _wanted(cells: DataFrame, columns: DataFrame) -> DataFrame:
+    """(project, row_id, cell_id, type, value) of the cells of entity columns that say something."""
     cols = columns.where("dtype = 'entity'").select("project", "col_id", F.col("variable").alias("type")).distinct()
-    wanted = cells.where(F.col("value").isNotNull() & ~F.col("value").rlike(DASHES)).select("project", "col_id", "row_id", "cell_id", "value").join(cols, ["project", "col_id"])
+    return cells.where(F.col("value").isNotNull() & ~F.col("value").rlike(DASHES)).select("project", "col_id", "row_id", "cell_id", "value").join(cols, ["project", "col_id"])
+
+
+def _by_value(wanted: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(type, value, county_note, entries): every distinct value with the entries of the list it may stand for, null if there are none."""
     # Distinct values and references are far smaller than the cells. Written once, they keep every later plan short.
     refs = cut(references(entities, aliases))
     words = cut(keyed(wanted.select("type", "value").distinct()))
@@ -135,8 +139,13 @@ def resolve(cells: DataFrame, columns: DataFrame, entities: DataFrame, aliases:
     left = words.where("key <> ''").select("type", F.col("key").alias("word")).distinct().join(begun.select("type", "word").distinct(), ["type", "word"], "left_anti")
     met = match_keys(left, refs).unionByName(begun)
     ids = met.join(refs, ["type", "key"]).groupBy("type", "word").agg(F.array_sort(F.collect_set(F.struct("entity_id", "county"))).alias("entries"))
-    by_value = words.join(ids.withColumnRenamed("word", "key"), ["type", "key"], "left").select("type", "value", "county_note", "entries")
-    by_value = cut(by_value)
+    return cut(words.join(ids.withColumnRenamed("word", "key"), ["type", "key"], "left").select("type", "value", "county_note", "entries"))
+
+
+def resolve(cells: DataFrame, columns: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(cell_id, entity_id) of every cell of an entity column; 'none' where the list has no such entry."""
+    wanted = _wanted(cells, columns)
+    by_value = _by_value(wanted, entities, aliases)
     found = wanted.join(by_value, ["type", "value"], "left")
     sure = found.where("entries is null or size(entries) = 1").select("cell_id", F.coalesce(F.expr("entries[0].entity_id"), F.lit("none")).alias("entity_id"))
     # The few cells whose name several entries share are used twice below.
@@ -160,8 +169,7 @@ def resolve(cells: DataFrame, columns: DataFrame, entities: DataFrame, aliases:
 
 
 def unmatched(cells: DataFrame, columns: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(type, value, cells): the values the list has no entry for and how many cells hold them, by anti-join."""
-    cols = columns.where("dtype = 'entity'").select("project", "col_id", F.col("variable").alias("type")).distinct()
-    listed = resolve(cells, columns, entities, aliases).where("entity_id <> 'none'").select("cell_id")
-    wanted = cells.where(F.col("value").isNotNull() & ~F.col("value").rlike(DASHES)).join(cols, ["project", "col_id"])
-    return wanted.join(listed, "cell_id", "left_anti").groupBy("type", "value").agg(F.countDistinct("cell_id").alias("cells"))
+    """(type, value, cells): the values the list has no entry for and how many cells hold them, by an anti-join of distinct values."""
+    wanted = _wanted(cells, columns)
+    listed = _by_value(wanted, entities, aliases).where("entries is not null").select("type", "value")
+    return wanted.groupBy("type", "value").agg(F.countDistinct("cell_id").alias("cells")).join(listed, ["type", "value"], "left_anti")
