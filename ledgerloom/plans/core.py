@@ -59,6 +59,11 @@ P1_SQL = f"""WITH RECURSIVE d AS (SELECT from_id AS id, arg_max(to_id, ts) AS nx
  x AS (SELECT coalesce(m.canonical, from_id) AS e, as_of AS y FROM edges LEFT JOIN m ON from_id = m.id WHERE type IN ('rename', 'merger', 'legal_form', 'successor') AND as_of IS NOT NULL)
  SELECT e AS entity_id, as_of AS valid_from, coalesce(lead(as_of) OVER (PARTITION BY e ORDER BY as_of), (SELECT min(y) FROM x WHERE x.e = g.e AND y >= g.as_of), 9999)::INTEGER AS valid_to FROM g"""
 
+#: What was last stated of each field before the next version began.
+P1_HISTORY = P1_SQL.split(" SELECT e AS entity_id")[0] + """, sp AS (SELECT e, as_of AS vf, lead(as_of) OVER (PARTITION BY e ORDER BY as_of) AS nx, coalesce(lead(as_of) OVER (PARTITION BY e ORDER BY as_of), (SELECT min(y) FROM x WHERE x.e = g.e AND y >= g.as_of), 9999)::INTEGER AS vt FROM g),
+ ct AS (SELECT sp.e, vf, k, arg_max(v, f.as_of) AS v FROM sp JOIN f ON f.e = sp.e AND (nx IS NULL OR f.as_of < nx) WHERE trim(v) <> '' GROUP BY 1, 2, 3)
+ SELECT sp.e AS entity_id, sp.vf AS valid_from, vt AS valid_to, max(v) FILTER (k = 'name') AS name, max(v) FILTER (k = 'parent') AS parent, coalesce(string_agg(k[6:] || '=' || v, '|' ORDER BY k) FILTER (starts_with(k, 'attr ')), '') AS attrs FROM sp LEFT JOIN ct ON ct.e = sp.e AND ct.vf = sp.vf GROUP BY 1, 2, 3"""
+
 #: The parts of pages by DuckDB's JSON functions, for the forms the test tables have.
 P3_WITH = """WITH v AS (SELECT save_id, project, stem, saved_at, doc::JSON AS d FROM (SELECT * FROM page_docs WHERE json_valid(doc)) QUALIFY row_number() OVER (PARTITION BY project, stem ORDER BY saved_at DESC, save_id DESC) = 1),
  o AS (SELECT save_id, CASE WHEN json_type(d) = 'ARRAY' THEN d->0 ELSE d END AS d FROM v), p AS (SELECT save_id, CASE WHEN json_type(d, '$.page') = 'OBJECT' THEN d->'page' ELSE d END AS d FROM o),
@@ -90,5 +95,7 @@ P3_CANDIDATES = P3_WITH + f""" SELECT save_id, CAST(i AS INTEGER) AS shape_idx,
 P3_NAMES = P3_WITH + """ SELECT save_id, CAST(i AS INTEGER) AS shape_idx, CAST(k AS VARCHAR) AS item_path, CASE json_type(x) WHEN 'OBJECT' THEN CASE WHEN json_exists(x, '$.lang') THEN 'name_with_language' ELSE 'name' END ELSE 'word' END AS variant,
   CASE json_type(x) WHEN 'OBJECT' THEN x->>'name' ELSE x->>'$' END AS name, CASE json_type(x) WHEN 'OBJECT' THEN x->>'lang' END AS lang FROM nm WHERE json_type(x) <> 'NULL'"""
 
-ORACLE = {"p1_found": P1_SQL, "p3_found": P3_SQL, "p3_boxes": P3_BOXES, "p3_points": P3_POINTS, "p3_rows": P3_ROWS, "p3_candidates": P3_CANDIDATES, "p3_names": P3_NAMES}
+P3_VARIANTS = " UNION ALL ".join(f"SELECT '{kind}' AS kind, variant, count(*) AS n FROM ({sql}) GROUP BY variant" for kind, sql in (("shape", P3_BOXES), ("point", P3_POINTS), ("row", P3_ROWS), ("candidate", P3_CANDIDATES), ("other_name", P3_NAMES)))
+
+ORACLE = {"p1_found": P1_SQL, "p1_history": P1_HISTORY, "p3_found": P3_SQL, "p3_variants": P3_VARIANTS, "p3_boxes": P3_BOXES, "p3_points": P3_POINTS, "p3_rows": P3_ROWS, "p3_candidates": P3_CANDIDATES, "p3_names": P3_NAMES}
 QUERIES = {"p1_found": p1_found, "p1_history": p1_history, "p3_found": p3_found, "p3_variants": p3_variants, "p3_boxes": p3_boxes, "p3_points": p3_points, "p3_rows": p3_rows, "p3_candidates": p3_candidates, "p3_names": p3_names}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import numbers, parse, text
 from ledgerloom.operators import curation, dataset, evaluate, history, mutate, ordered, resolve, review
+from ledgerloom.plans.checks import VALUES_SQL
 from ledgerloom.plans.frames import CELLS_SQL, folded, grid, latest
 from ledgerloom.plans.registry import query
 from ledgerloom.runtime import table
@@ -242,9 +243,10 @@ def sync_states(spark, root):
     return curation.sync_state(local, remote).groupBy("state").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("WITH " + VALUES_SQL.replace("FROM lineitem)", "FROM lineitem WHERE l_partkey % 9 <> 0 AND l_suppkey % 13 <> 0)") + """ SELECT 'layers disagree' AS reason, 4 AS severity, count(*) AS n FROM lineitem WHERE l_partkey % 9 <> 0 AND l_suppkey % 13 <> 0 AND l_partkey % 20 = 0 HAVING count(*) > 0
+ UNION ALL SELECT 'outlier', 3, count(*) FROM tested JOIN q USING (variable) WHERE t < q1 - 3 * (q3 - q1) OR t > q3 + 3 * (q3 - q1) HAVING count(*) > 0""")
 def review_queue(spark, root):
-    """Cells to be looked at; outliers come from exact quantiles, which checks.outliers holds against SQL."""
+    """Cells to be looked at."""
     li = table(spark, root, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("variable"), F.col("l_extendedprice").alias("value"), F.when(F.col("l_partkey") % 9 == 0, "x").alias("human"), F.col("l_partkey").cast("string").alias("llm"), F.when(F.col("l_partkey") % 20 == 0, "7").otherwise(F.col("l_partkey").cast("string")).alias("ocr"), (F.col("l_suppkey") % 13 == 0).alias("blank"))
     return review.queue(li, ["l_orderkey", "l_linenumber"]).groupBy("reason", "severity").agg(F.count("*").alias("n"))
 
@@ -277,16 +279,27 @@ def token_weights(spark, root):
     return resolve.token_weights(e, "entity", "name").select("token", F.round("weight", 6).alias("weight"))
 
 
-@query()
+AGREE_SQL = "CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN {a} = {b} OR contains({a}, {b}) OR contains({b}, {a}) OR list_last(string_split({a}, ' ')) = list_last(string_split({b}, ' ')) OR 100.0 * (1 - levenshtein({a}, {b}) / greatest(length({a}), length({b}))) >= 85 END"
+
+
+@query(f"""WITH q AS (SELECT DISTINCT entry_id AS record, {folded('firm_text')} AS q FROM court_entries WHERE {folded('firm_text')} <> ''), e AS (SELECT DISTINCT id AS entity, {folded('name')} AS e FROM entities WHERE type = 'firm' AND {folded('name')} <> ''),
+ p AS (SELECT q.q, e.e, 100.0 * (1 - levenshtein(q.q, e.e) / greatest(length(q.q), length(e.e))) AS score FROM (SELECT DISTINCT q FROM q) q, (SELECT DISTINCT e FROM e) e), m AS (SELECT record, entity, max(score) AS score FROM q JOIN p USING (q) JOIN e USING (e) WHERE score >= 70 GROUP BY 1, 2),
+ c AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY record ORDER BY score DESC, entity) <= 8),
+ ls AS (SELECT entity_id AS entity, parent, attrs['legal_form'] AS form, as_of FROM slices QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY as_of DESC, recorded_at DESC, parent DESC NULLS LAST) = 1), fa AS (SELECT ls.entity, t.name AS seat, t.attrs['county'] AS county, ls.form, ls.as_of AS founded FROM ls LEFT JOIN entities t ON t.id = ls.parent),
+ j AS (SELECT c.*, nullif({folded('r.seat')}, '') AS ra, nullif({folded('fa.seat')}, '') AS ea, r.founded = fa.founded AS ya, nullif({folded('r.county')}, '') = nullif({folded('fa.county')}, '') AS ca, nullif({folded('r.legal_form')}, '') = nullif({folded('fa.form')}, '') AS la FROM c JOIN court_entries r ON r.entry_id = c.record JOIN fa USING (entity)),
+ b AS (SELECT *, {AGREE_SQL.format(a='ra', b='ea')} AS sa FROM j), k AS (SELECT *, score + CASE WHEN sa THEN 12 ELSE 0 END + CASE WHEN ya THEN 10 ELSE 0 END + CASE WHEN ca THEN 4 ELSE 0 END + CASE WHEN la THEN 3 ELSE 0 END AS ranked FROM b),
+ o AS (SELECT *, row_number() OVER w AS rank, lead(score) OVER w AS s2, lead(ranked) OVER w AS r2 FROM k WINDOW w AS (PARTITION BY record ORDER BY ranked DESC, entity)),
+ d AS (SELECT record, entity, CASE WHEN score >= 95 AND sa = false AND ya = false THEN 'seat and year contradict' WHEN score >= 85 AND score < 95 AND (sa = false OR ya = false) THEN 'a fact contradicts' WHEN score >= 70 AND score < 85 AND NOT coalesce(sa AND ya, false) THEN 'weak name' WHEN score < 70 THEN 'name too different' WHEN score - s2 < 5 AND ranked - r2 < 5 THEN 'ambiguous' WHEN score >= 95 THEN 'sure name' WHEN score >= 85 THEN 'good name' ELSE 'corroborated' END AS reason FROM o WHERE rank = 1)
+ SELECT record, CASE WHEN reason IN ('sure name', 'good name', 'corroborated') THEN entity END AS entity, CASE WHEN reason IN ('sure name', 'good name', 'corroborated') THEN 'same' ELSE 'open' END AS decision, reason FROM d""")
 def decisions(spark, root):
-    """Records decided by tiers of name, seat and year; the tiers themselves are held by tests."""
-    rec = table(spark, root, "court_entries").where("firm_text is not null").select(F.col("entry_id").alias("record"), F.col("firm_text").alias("query"), "seat", "founded", "county", "legal_form", "court")
-    ents = table(spark, root, "entities").where("type = 'firm'").select(F.col("id").alias("entity"), "name")
-    last = table(spark, root, "slices").groupBy(F.col("entity_id").alias("entity")).agg(F.max_by(F.try_element_at("attrs", F.lit("legal_form")), "as_of").alias("legal_form"))
-    facts = ents.join(last, "entity", "left").select("entity", "legal_form", *[F.lit(None).cast("string").alias(c) for c in ("seat", "founded", "county", "court")])
-    c = resolve.candidates(rec.select("record", "query"), ents)
-    ranked = resolve.boosted(c, rec, facts).withColumnRenamed("founded_agree", "founded_agree")
-    return resolve.decide(ranked).groupBy("decision", "reason").agg(F.count("*").alias("n"))
+    """Court entries decided by the name, seat, year, county and legal form of the firms the list has; a firm's facts are those of its last slice, its seat the parent's name."""
+    rec = table(spark, root, "court_entries").select(F.col("entry_id").alias("record"), F.col("firm_text").alias("query"), "seat", "founded", "county", "legal_form", F.lit(None).cast("string").alias("court"))
+    ents = table(spark, root, "entities")
+    last = table(spark, root, "slices").groupBy(F.col("entity_id").alias("entity")).agg(F.max_by(F.struct("parent", F.try_element_at("attrs", F.lit("legal_form")).alias("legal_form"), F.col("as_of").alias("founded")), F.struct("as_of", "recorded_at", "parent")).alias("s"))
+    places = ents.select(F.col("id").alias("parent"), F.col("name").alias("seat"), F.try_element_at("attrs", F.lit("county")).alias("county"))
+    facts = last.select("entity", "s.*").join(places, "parent", "left").withColumn("court", F.lit(None).cast("string"))
+    c = resolve.candidates(rec.select("record", "query"), ents.where("type = 'firm'").select(F.col("id").alias("entity"), "name"))
+    return resolve.decide(resolve.boosted(c, rec, facts))
 
 
 @query("""WITH RECURSIVE d AS (SELECT from_id AS id, arg_max(to_id, ts) AS nxt FROM edges WHERE type = 'duplicate_of' AND from_id <> to_id GROUP BY 1), c AS (SELECT id, nxt AS canonical, 1 AS k FROM d UNION ALL SELECT c.id, d.nxt, k + 1 FROM c JOIN d ON c.canonical = d.id WHERE k < 50)
