@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import base64
 import os
+from array import array
 from collections.abc import Iterator
+from itertools import accumulate
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -87,28 +89,36 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class Packed(dict):
+    """The ids of each pre-token as packed 32-bit integers; short ones are kept up to a fixed number of them."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        super().__init__()
+        self.ranks = ranks
+
+    def __missing__(self, piece: str) -> bytes:
+        raw = piece.encode("utf-8", "replace") if not _lone(piece) else piece.encode("utf-16", "surrogatepass").decode("utf-16", "replace").encode()
+        ids = array("i", merge(raw, self.ranks)).tobytes()
+        if len(raw) <= MEMORABLE:
+            if len(self) >= MEMORY:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
-    """Encodes texts; keeps the ids of short pre-tokens up to a fixed number of them."""
+    """Encodes texts: pre-tokens are split off, looked up and joined without a step of Python for each."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN) -> None:
         import regex
 
-        self.ranks, self.split, self.known = ranks, regex.compile(pattern).findall, {}
+        self.split, self.known = regex.compile(pattern).findall, Packed(ranks)
+
+    def packed(self, text: str | None) -> bytes:
+        return b"".join(map(self.known.__getitem__, self.split(text))) if text else b""
 
     def __call__(self, text: str | None) -> list[int]:
-        out: list[int] = []
-        known = self.known
-        for piece in self.split(text or ""):
-            ids = known.get(piece)
-            if ids is None:
-                raw = piece.encode("utf-8", "replace") if not _lone(piece) else piece.encode("utf-16", "surrogatepass").decode("utf-16", "replace").encode()
-                ids = merge(raw, self.ranks)
-                if len(raw) <= MEMORABLE:
-                    if len(known) >= MEMORY:
-                        known.clear()
-                    known[piece] = ids
-            out += ids
-        return out
+        return array("i", self.packed(text)).tolist()
 
 
 def _lone(piece: str) -> bool:
@@ -124,7 +134,9 @@ def encode(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
         encoder = Encoder(parse_ranks(raw.value))
         for b in batches:
-            ids = pa.array([encoder(t) for t in b.column("text").to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids], ["doc_id", "ids"])
+            texts = [encoder.packed(t) for t in b.column("text").to_pylist()]
+            ends = pa.array([0, *accumulate(len(t) // 4 for t in texts)], pa.int32())
+            flat = pa.Array.from_buffers(pa.int32(), sum(map(len, texts)) // 4, [None, pa.py_buffer(b"".join(texts))])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(ends, flat)], ["doc_id", "ids"])
 
     return spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).mapInArrow(run, "doc_id bigint, ids array<int>")
