@@ -47,6 +47,12 @@ def layer(human: Column, llm: Column, ocr: Column, which: str) -> Column:
     return F.coalesce(*picked, F.struct(F.lit("").alias("text"), F.lit(None).cast("string").alias("source")))
 
 
+def rows_text(rows: Column) -> Column:
+    """The text of a box's internal rows (human, llm, ocr): the best layer of each, one a line; rows without text are left out."""
+    best = F.transform(rows, lambda r: F.coalesce(filled(r["human"]), filled(r["llm"]), filled(r["ocr"])))
+    return F.array_join(F.filter(best, lambda x: x.isNotNull()), "\n")
+
+
 def first_line(c: Column, limit: int = 80) -> Column:
     """The first line of a text, at most `limit` characters of it."""
     return F.left(F.trim(F.element_at(F.split(F.trim(c), "\n"), 1)), F.lit(limit))

@@ -83,6 +83,11 @@ def folders(files: DataFrame) -> DataFrame:
     return files.groupBy(F.element_at(F.split("path", "/"), 1).alias("folder")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
 
 
+def trash_entries(files: DataFrame) -> DataFrame:
+    """(entry, files, bytes, changed): what lies in the trash, one row per top entry of (path, length, mtime), with its last change."""
+    return files.groupBy(F.element_at(F.split("path", "/"), 1).alias("entry")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), F.max("mtime").alias("changed"))
+
+
 def renumbered_tables(boxes: DataFrame, page: list[str], taken: DataFrame) -> DataFrame:
     """`boxes` whose table ids that `taken` (page..., table) already has get the next free numbers, in their order."""
     clash = boxes.select(*page, "table").distinct().where(F.col("table").isNotNull()).join(taken.select(*page, "table").distinct(), [*page, "table"], "left_semi")

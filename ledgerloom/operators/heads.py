@@ -120,3 +120,13 @@ def entity_rows(entities: DataFrame, aliases: DataFrame, edges: DataFrame, slice
         out = out.join(d, "__c", "left")
     none = F.array().cast("array<string>")
     return out.select(F.col("__c").alias("id"), F.col("head").alias("name"), *[F.coalesce(k, none).alias(k) for k in ("aliases", "merged", "edges", "cells")])
+
+
+def merged_facts(entities: DataFrame, canonical: DataFrame) -> DataFrame:
+    """(id, attrs): the facts of each entity that stands: its own, and where it says nothing those of the entities folded into it, the least id first."""
+    e = entities.select("id", F.explode("attrs").alias("key", "value")).where(F.coalesce(F.trim("value"), F.lit("")) != "")
+    j = e.join(canonical.select("id", "canonical"), "id", "left").withColumn("to", F.coalesce("canonical", "id"))
+    first = j.groupBy("to", "key").agg(F.min_by("value", F.struct((F.col("id") != F.col("to")).alias("folded"), "id")).alias("value"))
+    facts = first.groupBy(F.col("to").alias("id")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value")))).alias("attrs"))
+    stand = entities.select("id").join(canonical.select("id"), "id", "left_anti")
+    return stand.join(facts, "id", "left").select("id", F.coalesce("attrs", F.create_map().cast("map<string,string>")).alias("attrs"))

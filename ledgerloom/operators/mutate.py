@@ -55,6 +55,14 @@ def accepted(boxes: DataFrame, decisions: DataFrame, key: list[str]) -> DataFram
     return j.withColumn("previous", before).withColumn("blank", F.when(seen, F.col("__v") == "").otherwise(F.col("blank"))).withColumn("human", F.when(seen & (F.col("__v") != ""), F.col("__v")).when(seen, None).otherwise(F.col("human"))).drop("__v")
 
 
+def with_status(pages: DataFrame, chosen: DataFrame, key: list[str], status: str, keep: list[str] = ()) -> DataFrame:
+    """`pages` with one status for the chosen ones; those whose present status is in `keep` are left as they are."""
+    c = chosen.select(*key).distinct().withColumn("__c", F.lit(True))
+    now = F.coalesce("status", F.lit("predicted"))
+    hit = F.col("__c").isNotNull() & ~now.isin(list(keep)) if keep else F.col("__c").isNotNull()
+    return pages.join(c, key, "left").withColumn("status", F.when(hit, status).otherwise(F.col("status"))).select(*pages.columns)
+
+
 def _padded(number, width: int):
     """A number with noughts before it; one that is longer keeps its digits."""
     return F.when(F.length(number) >= width, number).otherwise(F.lpad(number, width, "0"))

@@ -180,5 +180,16 @@ def schema_issues(text: Column, schema: dict) -> Column:
     return F.when(valid, found).otherwise(F.array(F.lit("$: not JSON")))
 
 
-def finite(c: Column) -> Column:
+def finite(c: Column, kind=None) -> Column:
+    """A number, or null where it is not finite; with `kind`, its Spark type, the same for all numbers within arrays, maps and structs."""
+    from pyspark.sql import types as T
+
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: finite(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(c, lambda _, v: finite(v, kind.valueType))
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[finite(c[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    if kind is not None and not isinstance(kind, (T.DoubleType, T.FloatType)):
+        return c
     return F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(c)

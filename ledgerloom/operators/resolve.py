@@ -235,14 +235,15 @@ def citations(records: DataFrame, issues: DataFrame, volumes: DataFrame) -> Data
     return met.select("record", "entity", lane.alias("lane")).unionByName(top).distinct()
 
 
-def stripped(name: Column, tokens: list[str], phrases: list[str]) -> Column:
-    """A folded name without words and phrases that tell no firm from another; a name that is nothing else keeps its words."""
+def stripped(name: Column, tokens: list[str], phrases: list[str], trailing: list[str] = ()) -> Column:
+    """A folded name without words and phrases that tell no firm from another, and without `trailing` words at its end; a name that is nothing else keeps its words."""
     f = fold(name)
     bare = f
     for p in phrases:
         bare = F.regexp_replace(bare, rf"\b{p}\b", " ")
-    left = F.filter(F.split(F.trim(bare), r"\s+"), lambda w: ~w.isin(tokens) & (w != ""))
-    return F.when(F.size(left) > 0, F.array_join(left, " ")).otherwise(f)
+    left = F.array_join(F.filter(F.split(F.trim(bare), r"\s+"), lambda w: ~w.isin(list(tokens)) & (w != "")), " ")
+    left = F.regexp_replace(left, rf"(?:(?:^|\s)(?:{'|'.join(trailing)}))+$", "") if trailing else left
+    return F.when(left != "", left).otherwise(f)
 
 
 def weighted_scores(pairs: DataFrame, weights: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import numbers, parse, text
-from ledgerloom.operators import curation, diagnostics, evaluate, geometry, mutate, ordered, pages, resolve, review, rules
+from ledgerloom.operators import curation, diagnostics, evaluate, geometry, heads, history, mutate, ordered, pages, resolve, review, rules
 from ledgerloom.plans.frames import BOXES_SQL, boxes, folded
 from ledgerloom.plans.records import LAYERS_SQL, _layers
 from ledgerloom.plans.registry import query
@@ -360,3 +360,33 @@ def derived_fields(spark, root):
     e = table(spark, root, "court_entries").where("event_date is not null")
     lines = [F.concat(F.lit("kelt "), F.col("event_date")), F.coalesce(F.concat(F.col("folio").cast("string"), F.lit("/1")), F.lit("")), F.when(F.col("event_type") == "deleted", "kitöröltetett").otherwise("új czég")]
     return e.select("entry_id", parse.derive(lines, "date").alias("said"), parse.derive(lines, "folio")["folio"].alias("folio"), parse.derive(lines, "event").alias("event"))
+
+
+@query("""SELECT o_orderkey AS k, array_to_string(list_filter(['h' || CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END, CASE WHEN o_orderkey % 3 = 0 THEN 'l' ELSE 'o' END, NULL], lambda x: x IS NOT NULL), chr(10)) AS text FROM orders""")
+def texts_of_rows(spark, root):
+    k = F.col("o_orderkey")
+    none = F.lit(None).cast("string")
+    row = lambda h, m, o: F.struct(h.alias("human"), m.alias("llm"), o.alias("ocr"))
+    rows = F.array(row(F.when(k % 2 == 0, F.concat(F.lit("h"), F.col("o_custkey").cast("string"))), F.lit(" "), none), row(F.lit(""), F.when(k % 3 == 0, "l"), F.lit("o")), row(none, none, F.lit("  ")))
+    return table(spark, root, "orders").select(k.alias("k"), text.rows_text(rows).alias("text"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND s <> 'verified' THEN 'skip' WHEN s <> 'predicted' THEN s END AS status FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'verified' WHEN 1 THEN 'in_progress' ELSE 'predicted' END AS s FROM documents)""")
+def statuses_set(spark, root):
+    k = F.col("doc_id")
+    d = table(spark, root, "documents").select(k, F.when(k % 3 == 0, "verified").when(k % 3 == 1, "in_progress").alias("status"))
+    return mutate.with_status(d, d.where("doc_id % 2 = 0"), ["doc_id"], "skip", ["verified"])
+
+
+@query("""SELECT 'u' || (user_id % 50) AS entry, count(*) AS files, CAST(sum(event_id) AS BIGINT) AS bytes, max(ts) AS changed FROM events GROUP BY 1""")
+def trash_inventory(spark, root):
+    e = table(spark, root, "events")
+    return curation.trash_entries(e.select(F.concat(F.lit("u"), (F.col("user_id") % 50).cast("string"), F.lit("/"), F.col("event_id").cast("string")).alias("path"), F.col("event_id").alias("length"), F.col("ts").alias("mtime")))
+
+
+@query("""WITH RECURSIVE d AS (SELECT from_id AS id, arg_max(to_id, ts) AS nxt FROM edges WHERE type = 'duplicate_of' AND from_id <> to_id GROUP BY 1), c AS (SELECT id, nxt AS canonical, 1 AS k FROM d UNION ALL SELECT c.id, d.nxt, k + 1 FROM c JOIN d ON c.canonical = d.id WHERE k < 50),
+ m AS (SELECT id, canonical FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY k DESC) = 1), e AS (SELECT id, coalesce(canonical, id) AS t, k, attrs[k] AS v FROM (SELECT id, attrs, unnest(map_keys(attrs)) AS k FROM entities) LEFT JOIN m USING (id)), f AS (SELECT t, k, v FROM e WHERE trim(coalesce(v, '')) <> '' QUALIFY row_number() OVER (PARTITION BY t, k ORDER BY id <> t, id) = 1)
+ SELECT id, coalesce((SELECT string_agg(k || '=' || v, '|' ORDER BY k) FROM f WHERE f.t = entities.id), '') AS attrs FROM entities WHERE id NOT IN (SELECT id FROM m)""")
+def facts_merged(spark, root):
+    f = heads.merged_facts(table(spark, root, "entities"), history.canonical_ids(table(spark, root, "edges")))
+    return f.select("id", F.array_join(F.transform(F.array_sort(F.map_entries("attrs")), lambda x: F.concat_ws("=", x["key"], x["value"])), "|").alias("attrs"))

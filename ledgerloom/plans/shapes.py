@@ -291,7 +291,7 @@ def changed_pages(spark, root):
     return evaluate.changed_pages(b, after, ["page"])
 
 
-@query()
+@query(WITH + """ SELECT page, sha1(array_to_string(list_sort(list(label || ',' || CAST(x1 AS VARCHAR) || ',' || CAST(y1 AS VARCHAR) || ',' || CAST(x2 AS VARCHAR) || ',' || CAST(y2 AS VARCHAR))), ';')) AS hash FROM boxes GROUP BY 1""")
 def page_hashes(spark, root):
     return evaluate.page_hash(boxes(spark, root), ["page"])
 

@@ -55,10 +55,26 @@ def write_csv(df: DataFrame, folder: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(folder)
 
 
+def markdown_lines(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(value): a table as Markdown rows, each partition with its heading."""
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"([|])", r"\\$1") for c in columns]), F.lit(" |"))
+    heading = ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
+
+    def with_heading(batches):
+        import pandas as pd
+
+        began = False
+        for b in batches:
+            if len(b):
+                yield b if began else pd.concat([pd.DataFrame({"value": heading}), b])
+                began = True
+
+    return df.select(row.alias("value")).mapInPandas(with_heading, "value string")
+
+
 def write_markdown(df: DataFrame, folder: str, columns: list[str]) -> None:
-    """A table as Markdown rows, one file per partition, each with its heading."""
-    row = lambda cs: F.concat(F.lit("| "), F.concat_ws(" | ", *[F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"\|", "\\\\|") for c in cs]), F.lit(" |"))
-    df.select(row(columns).alias("value")).write.mode("overwrite").text(folder)
+    """A table as Markdown, one file per partition, each with its heading."""
+    markdown_lines(df, columns).write.mode("overwrite").text(folder)
 
 
 def flow_markdown(boxes: DataFrame, page: list[str]) -> DataFrame:

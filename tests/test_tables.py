@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import numbers
-from ledgerloom.operators import heads, labels, rules, tables
+from ledgerloom.operators import heads, labels, resolve, rules, tables
+from ledgerloom.operators.pages import finite
+from ledgerloom.sources import pages as pages_io
 
 
 def test_names_and_scopes(spark):
@@ -128,3 +130,20 @@ def test_best_edits_prefer_what_stands_higher(spark):
     rule = [{"name": "s", "lhs": "a + b", "operator": "=", "rhs": "c", "tol": 0.0}]
     first = lambda h: rules.best_edits(d, rule, ["k"], ["a", "b", "c"], 1, h).first().variable
     assert first(None) == "a" and first({"c": 3, "a": 1}) == "c" and first({"b": 2}) == "b"
+
+
+def test_trailing_words_go_from_the_end_only(spark):
+    d = spark.createDataFrame([("Szombathely rtv",), ("rtv",), ("rtv Pest kgs. rtv",), ("pesti r. t. hengermalom",), ("pesti hengermalom részvénytársaság",), ("részvénytársaság",)], "c string")
+    assert [r[0] for r in d.select(resolve.stripped(F.col("c"), [], ["reszvenytarsasag", "r t"], ["rtv", "kgs"])).collect()] == ["szombathely", "rtv", "rtv pest", "pesti hengermalom", "pesti hengermalom", "reszvenytarsasag"]
+
+
+def test_markdown_has_a_heading(spark):
+    d = spark.createDataFrame([(1, "a|b"), (2, None)], "k int, v string").coalesce(1)
+    assert [r.value for r in pages_io.markdown_lines(d, ["k", "v"]).collect()] == ["| k | v |", "|---|---|", "| 1 | a\\|b |", "| 2 |  |"]
+    assert pages_io.markdown_lines(d.limit(0), ["k"]).count() == 0
+
+
+def test_finite_at_any_level(spark):
+    d = spark.createDataFrame([(1.0, [float("nan"), 2.0], {"a": float("inf")}, (float("-inf"), "x"), 3)], "a double, b array<double>, c map<string,double>, d struct<e:double,f:string>, g int")
+    r = d.select(*[finite(F.col(f.name), f.dataType).alias(f.name) for f in d.schema.fields]).first()
+    assert (r.a, r.b, r.c, tuple(r.d), r.g) == (1.0, [None, 2.0], {"a": None}, (None, "x"), 3)
