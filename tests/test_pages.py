@@ -35,7 +35,7 @@ def test_page_documents_are_read_and_written(spark, tmp_path, rows):
     assert spark.read.json(str(tmp_path / "out")).count() == 1
     src.write_csv(spark.range(2), str(tmp_path / "csv"))
     src.write_markdown(spark.createDataFrame([(1, "a|b")], "k int, v string"), str(tmp_path / "md"), ["k", "v"])
-    assert spark.read.text(str(tmp_path / "md")).first()[0] == "| 1 | a\\|b |"
+    assert [r.value for r in spark.read.text(str(tmp_path / "md")).collect()] == ["| k | v |", "|---|---|", "| 1 | a\\|b |"]
 
 
 def test_detector_metrics(spark, rows):
