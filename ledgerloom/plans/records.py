@@ -285,7 +285,7 @@ AGREE_SQL = "CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN {a} = {b} OR con
 @query(f"""WITH q AS (SELECT DISTINCT entry_id AS record, {folded('firm_text')} AS q FROM court_entries WHERE {folded('firm_text')} <> ''), e AS (SELECT DISTINCT id AS entity, {folded('name')} AS e FROM entities WHERE type = 'firm' AND {folded('name')} <> ''),
  p AS (SELECT q.q, e.e, 100.0 * (1 - levenshtein(q.q, e.e) / greatest(length(q.q), length(e.e))) AS score FROM (SELECT DISTINCT q FROM q) q, (SELECT DISTINCT e FROM e) e), m AS (SELECT record, entity, max(score) AS score FROM q JOIN p USING (q) JOIN e USING (e) WHERE score >= 70 GROUP BY 1, 2),
  c AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY record ORDER BY score DESC, entity) <= 8),
- ls AS (SELECT entity_id AS entity, parent, attrs['legal_form'] AS form, as_of FROM slices QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY as_of DESC, recorded_at DESC, parent DESC NULLS LAST) = 1), fa AS (SELECT ls.entity, t.name AS seat, t.attrs['county'] AS county, ls.form, ls.as_of AS founded FROM ls LEFT JOIN entities t ON t.id = ls.parent),
+ ls AS (SELECT entity_id AS entity, parent, attrs['legal_form'] AS form, as_of FROM slices QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY as_of DESC, recorded_at DESC, parent DESC NULLS LAST) = 1), fa AS (SELECT f.id AS entity, t.name AS seat, t.attrs['county'] AS county, ls.form, ls.as_of AS founded FROM entities f LEFT JOIN ls ON ls.entity = f.id LEFT JOIN entities t ON t.id = ls.parent),
  j AS (SELECT c.*, nullif({folded('r.seat')}, '') AS ra, nullif({folded('fa.seat')}, '') AS ea, r.founded = fa.founded AS ya, nullif({folded('r.county')}, '') = nullif({folded('fa.county')}, '') AS ca, nullif({folded('r.legal_form')}, '') = nullif({folded('fa.form')}, '') AS la FROM c JOIN court_entries r ON r.entry_id = c.record JOIN fa USING (entity)),
  b AS (SELECT *, {AGREE_SQL.format(a='ra', b='ea')} AS sa FROM j), k AS (SELECT *, score + CASE WHEN sa THEN 12 ELSE 0 END + CASE WHEN ya THEN 10 ELSE 0 END + CASE WHEN ca THEN 4 ELSE 0 END + CASE WHEN la THEN 3 ELSE 0 END AS ranked FROM b),
  o AS (SELECT *, row_number() OVER w AS rank, lead(score) OVER w AS s2, lead(ranked) OVER w AS r2 FROM k WINDOW w AS (PARTITION BY record ORDER BY ranked DESC, entity)),
@@ -297,8 +297,9 @@ def decisions(spark, root):
     ents = table(spark, root, "entities")
     last = table(spark, root, "slices").groupBy(F.col("entity_id").alias("entity")).agg(F.max_by(F.struct("parent", F.try_element_at("attrs", F.lit("legal_form")).alias("legal_form"), F.col("as_of").alias("founded")), F.struct("as_of", "recorded_at", "parent")).alias("s"))
     places = ents.select(F.col("id").alias("parent"), F.col("name").alias("seat"), F.try_element_at("attrs", F.lit("county")).alias("county"))
-    facts = last.select("entity", "s.*").join(places, "parent", "left").withColumn("court", F.lit(None).cast("string"))
-    c = resolve.candidates(rec.select("record", "query"), ents.where("type = 'firm'").select(F.col("id").alias("entity"), "name"))
+    named = ents.where("type = 'firm'").select(F.col("id").alias("entity"), "name")
+    facts = named.select("entity").distinct().join(last, "entity", "left").select("entity", "s.*").join(places, "parent", "left").withColumn("court", F.lit(None).cast("string"))
+    c = resolve.candidates(rec.select("record", "query"), named)
     return resolve.decide(resolve.boosted(c, rec, facts))
 
 

@@ -53,8 +53,8 @@ def test_decisions_meet_names_by_a_frequent_word(spark, monkeypatch):
     firms = [(f"F{i}", "firm", f"{w} gőzmalom") for i, w in enumerate(("Barakovics", "Csendesi", "Dombóvári", "Egerszegi", "Fehérvári"))]
     tables = {
         "court_entries": spark.createDataFrame([(1, "Barakovits gőzmalom", None, None, None, None, None), (2, "Dornbóvári gőzmalom", None, None, None, None, None)], "entry_id bigint, firm_text string, seat string, founded int, county string, legal_form string, court string"),
-        "entities": spark.createDataFrame(firms, "id string, type string, name string"),
-        "slices": spark.createDataFrame([], "entity_id string, as_of int, attrs map<string,string>"),
+        "entities": spark.createDataFrame([(*f, None) for f in firms], "id string, type string, name string, attrs map<string,string>"),
+        "slices": spark.createDataFrame([], "entity_id string, as_of int, parent string, recorded_at timestamp, attrs map<string,string>"),
     }
     monkeypatch.setattr(records, "table", lambda s, root, name: tables[name])
-    assert [tuple(r) for r in records.decisions(spark, "").collect()] == [("same", "good name", 2)]
+    assert sorted(tuple(r) for r in records.decisions(spark, "").collect()) == [(1, "F0", "same", "good name"), (2, "F2", "same", "good name")]
