@@ -96,7 +96,10 @@ def similar_texts(left: DataFrame, right: DataFrame, floor: float, salts: int =
     more = lambda a, b: F.bit_count(F.col(f"{a}1").bitwiseAND(F.bitwise_not(F.col(f"{b}1")))) + F.bit_count(F.col(f"{a}2").bitwiseAND(F.bitwise_not(F.col(f"{b}2"))))
     parts = 4 * salts
     met = le.repartition(parts, "n", "salt").join(ri.repartition(parts, "n", "salt").hint("shuffle_hash"), ["n", "salt"]).where((more("q", "e") <= borne) & (more("e", "q") <= borne))
-    return met.select("q", "e", similarity(F.col("q"), F.col("e")).alias("score")).where(F.col("score") >= floor)
+    # The distance is taken in a band as wide as the edits that are borne.
+    d = F.call_function("levenshtein", F.col("q"), F.col("e"), borne)
+    far = F.greatest(F.length("q"), F.length("e"))
+    return met.withColumn("d", d).where("d >= 0").select("q", "e", (100.0 * (1 - F.col("d") / far)).alias("score")).where(F.col("score") >= floor)
 
 
 def candidates(queries: DataFrame, names: DataFrame, floor: float = FLOOR, top: int = TOP, rescore=None) -> DataFrame:
